@@ -303,9 +303,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "suffix")
     keyed = docs.select(*row_key(id_col, text_col), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
     named = scratch.table(keyed.mapInArrow(_name_fragments(min_bytes), FRAGMENT))
-    twice = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join on key, which many rows may share, has plain exchanges on both sides and can be split
+    twice = scratch.table(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     again = scratch.table(named.join(twice, "key"))
-    scratch.drop(named)
+    scratch.drop(named, twice)
     same_key = W.Window.partitionBy("key")
     contents = scratch.table(
         again.groupBy("key", "fh")
