@@ -200,7 +200,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link(distance, n_words), "u long, v long")
     star = stars(links, scratch)
     rooted = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(*f, "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # written, so that the join on root, which many rows may share, has plain exchanges on both sides and can be split
+    least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component")))
     known = scratch.table(rooted.join(least, "root").select(*f, "root", F.nullif("component", F.lit(2**63 - 1)).alias("component")))
     return rows.join(known, f)
 
