@@ -9,7 +9,9 @@ of it to powers of two, so that a stream wastes nothing.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_counts import byte_alphabet
+
 LENGTH = 2048
 END = 1
 MEMO = 700_000
@@ -27,15 +31,38 @@ MAX_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Encoder:
-    """Token ids as little-endian 32-bit bytes. Pieces never cross ASCII white space, which the tokenizer drops, so words are encoded once and remembered."""
+#: Words that the tokenizer's normaliser only lower-cases and whose splits are those of PIECES: printable ASCII but for the apostrophe, and Latin-1 letters.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+
+
+class Encoder(dict):
+    """Token ids, as little-endian 32-bit bytes, by word; words met are remembered.
+
+    The tokenizer drops white space and no piece crosses ASCII white space. Plain words go to its model, split as it would, and others to the whole of it.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not PLAIN(text) or "<|" in text:  # which starts the special tokens
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            pieces = PIECES(text.lower())
+            if len(pieces) > 1:
+                ids = b"".join([self[p.encode()] for p in pieces])
+            else:
+                ids = array("I", [t.id for t in self.model.tokenize(pieces[0].encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[word] = ids
+        return ids
 
     def words(self, text: str) -> list[bytes]:
         """Lower-cased here already, as the tokenizer would, unless a combining mark could join a capital."""
@@ -43,16 +70,9 @@ class Encoder:
         return (b if b"\xcc" in b else b.lower()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+        if len(self) > MEMO:
+            self.clear()
+        return [b"".join(map(self.__getitem__, self.words(t))) for t in texts]
 
 
 @lru_cache(1)
