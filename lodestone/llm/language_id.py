@@ -80,9 +80,12 @@ class Model:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return v / np.where(norm > 0, norm, 1)
+        """In place of the counts."""
+        v = np.log1p(counts, out=counts)
+        v *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        v /= np.where(norm > 0, norm, 1)
+        return v
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts, letters = gram_counts(texts)
@@ -110,8 +113,10 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def learn(texts: list[str], langs: list[str], clusters: int = CLUSTERS) -> Model:
     languages = sorted(set(langs))
-    counts = np.concatenate([gram_counts(texts[i : i + 200])[0] for i in range(0, len(texts), 200)]) if texts else np.zeros((0, SIZE), np.float32)
-    df = (counts > 0).sum(axis=0)
+    counts, df = np.empty((len(texts), SIZE), np.float32), np.zeros(SIZE, np.int64)
+    for i in range(0, len(texts), 200):
+        counts[i : i + 200] = gram_counts(texts[i : i + 200])[0]
+        df += np.count_nonzero(counts[i : i + 200], axis=0)
     model = Model(languages, (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, int), np.zeros(0))
     v, lang = model.vectors(counts), np.array(langs)
     centroids, owner, least = [], [], []
