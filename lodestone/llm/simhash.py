@@ -113,7 +113,8 @@ def _deal(segments: list[tuple[int, int, int]], n_words: int):
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    """Differing bits; unsigned, as numpy counts those of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
 def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -209,9 +210,9 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with the least id in their class (of rows that share it, one), all columns kept."""
     classes = simhash_classes(docs, id_col, text_col, **options)
-    kept = classes.groupBy("root").agg(F.min(F.struct("d", "rid")).alias("k")).select(F.col("k.rid").alias("_rid"), F.col("k.d").alias("_d"))
-    rid, d = row_key(id_col, text_col)
-    return docs.select("*", rid.alias("_rid"), d.alias("_d")).join(kept, ["_rid", "_d"]).dropDuplicates(["_rid", "_d"]).select(*docs.columns)
+    kept = classes.groupBy("root").agg(F.min(F.struct("d", "rid")).alias("k")).select("k.rid", "k.d")
+    rows = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, ["rid", "d"]).dropDuplicates(["rid", "d"]).select("row.*")
 
 
 __all__ = ["NULL_ID", "fingerprints", "forest", "keep_one", "simhash_classes"]
