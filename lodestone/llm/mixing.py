@@ -65,15 +65,15 @@ def weights(sizes: DataFrame, *, max_repeats: float = 1.5, entropy: float | None
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 0, **options) -> DataFrame:
-    """Rows of docs, columns kept, each as often as its source's target says, with _tokens, _pass (from 0) and _place (in the mix, 0 to 1).
+    """row (a row of docs as a struct), tokens, pass (from 0), place (in the mix, 0 to 1): each row as often as its source's target says.
 
-    A null source is a source of its own. Repeated rows take the same place and fill it one after another. With the default budget every row appears once at least.
+    A null source is a source of its own. Repeated rows have one place and share their fate. With the default budget every row appears once at least.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    base = docs.withColumn("_source", source).withColumn("_tokens", n_tokens(F.col(text_col)))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    base = base.withColumn("_u", F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53))
+    unit = F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("_source"), n_tokens(F.col(text_col)).alias("_tokens"), unit.alias("_u"))
     light = Scratch(spark, "mixing").table(base.select("_source", "_u", "_tokens"))
     sizes = light.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n_rows"), F.sum("_tokens").alias("n_tokens"))
     plan = weights(sizes, **options).select(
@@ -114,4 +114,4 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     passes = F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("long")
     out = known.where(passes > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
     out = out.withColumn("_place", F.least((F.col("_pass") + F.col("_u")) / F.col("_uses"), F.lit(1.0)))
-    return out.select(*docs.columns, "_tokens", "_pass", "_place")
+    return out.select("row", F.col("_tokens").alias("tokens"), F.col("_pass").alias("pass"), F.col("_place").alias("place"))

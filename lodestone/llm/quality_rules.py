@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_marks"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_marks", "n_echoes"]
 #: Labelled rows used to fit at most; they are those of least hash.
 MAX_LABELLED = 20_000
 
@@ -76,7 +76,9 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
         dup = n_lines - np.array([len(set(x)) for x in lines])
         with np.errstate(over="ignore"):
             repeat = _repeats(hashes, np.cumsum(n_words))
-        out[held] = np.stack([n_words, lengths - kinds[:, 0] - kinds[:, 1], kinds[:, 2], dup, repeat, n_lines, kinds[:, 4], kinds[:, 5], kinds[:, 6], kinds[:, 3]], axis=1)
+        doc = np.repeat(np.arange(len(held)), n_words)
+        echoes = np.bincount(doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])], minlength=len(held))  # words like the one before
+        out[held] = np.stack([n_words, lengths - kinds[:, 0] - kinds[:, 1], kinds[:, 2], dup, repeat, n_lines, kinds[:, 4], kinds[:, 5], kinds[:, 6], kinds[:, 3], echoes], axis=1)
 
     for i, b in enumerate(texts):
         held.append(i)
@@ -117,6 +119,7 @@ def features() -> dict[str, Column]:
         "capitals": per("n_upper", "word_chars"),
         "digits": per("n_digits", "word_chars"),
         "marks": per("n_marks", "word_chars"),
+        "echoes": per("n_echoes", "n_words"),
     }
 
 
@@ -230,7 +233,7 @@ def filter_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             got = text_stats([(x or "").encode() for x in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, k]) for k in range(len(STATS)))], names=[*batch.schema.names, *STATS])
 
-    sent = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text_col).cast("string").alias("t"))
+    sent = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(text_col).cast("string").alias("t"))
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)), "t string", *(f"{x} long" for x in STATS)])
     kept = sent.mapInArrow(run, schema).where(~base_failed() & verdict(rules, list(features())))
     named = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {text_col: F.col("t")}

@@ -44,7 +44,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_place").alias("place"))
+    return mixing.mix(docs).select("row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), "pass", "place")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

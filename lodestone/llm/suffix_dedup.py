@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -378,24 +378,23 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.string())], names=[*(batch.schema.names[i] for i in keep), "kept"])
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, *cols: Column) -> DataFrame:
+    """cols of each row, its text's bytes t, and its spans."""
     spans = repeated_spans(docs, id_col, text_col, min_bytes)
-    keyed = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(row_key(id_col, text_col), ("rid", "d"), strict=True)))
-    return keyed.join(spans.select(F.col("rid").alias("_rid"), F.col("d").alias("_d"), F.col("spans").alias("_spans")), ["_rid", "_d"], "left").drop("_rid", "_d")
+    keyed = docs.select(*row_key(id_col, text_col), *cols, F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
+    return keyed.join(spans, ["rid", "d"], "left").drop("rid", "d")
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
     """Per row: bytes, removed bytes, maximal removed runs, SHA-256 of the rest, and the runs. Rows with a null id keep it."""
-    only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = _with_spans(only, "doc_id", "text", min_bytes).select("doc_id", F.encode("text", "UTF-8").alias("t"), F.col("_spans").alias("spans"))
+    both = _with_spans(docs, id_col, text_col, min_bytes, F.col(id_col).cast("long").alias("doc_id")).select("doc_id", "t", "spans")
     return both.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
     """The rows of docs, their columns unchanged but for the text, which loses its repeated characters; null text stays null."""
-    both = _with_spans(docs, id_col, text_col, min_bytes)
     rest = [c for c in docs.columns if c != text_col]
-    sent = both.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.encode(F.col(text_col), "UTF-8").alias("t"), F.col("_spans").alias("spans"))
+    sent = _with_spans(docs, id_col, text_col, min_bytes, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)] + ["kept string"])
     out = sent.mapInArrow(_strip, schema)
     named = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {text_col: F.col("kept")}
