@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship, table
+
+__all__ = ["NULL_ID", "Scratch", "row_key", "shared_dir", "table"]
+
 #: Stands for a null id inside join keys; no operator returns it.
 NULL_ID = -(2**63)
 
@@ -26,6 +30,7 @@ class Scratch:
     """Intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -50,7 +55,3 @@ class Scratch:
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """rid, d: name a row by id and text. Rows that repeat both share a key, and so have one result."""
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d")]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
