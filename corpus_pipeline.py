@@ -33,11 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = suffix_dedup.strip_repeats(docs, min_bytes=MIN_BYTES)
-    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
