@@ -25,7 +25,7 @@ from .token_counts import byte_alphabet
 
 LENGTH = 2048
 END = 1
-MEMO = 700_000
+MEMO = 350_000
 #: Open windows of a stream at most; then they are cut as at its end.
 MAX_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
