@@ -7,8 +7,9 @@ names are grouped by content: a content that occurs twice is repeated as a whole
 share a name but differ go, one copy of each, into blocks. A block's texts are sorted to depth
 ``min_bytes``, transformed, and their common prefixes derived breadth-first by backward extension,
 in increasing order; expansion stops at ``min_bytes``. Rows whose boundary was not reached share
-that many bytes. Names and contents are counted with map-side aggregation, so one group of copies may
-hold any share of the rows.
+that many bytes. A name whose different contents exceed ``MAX_NAME`` bytes doesn't go to one block: its windows are named by
+a hash of all their bytes and counted. Names, contents and such windows are counted with map-side aggregation, so one group
+may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
+from ..session import fits
 from ._shared import Scratch, row_key
 
 ANCHOR = 64
 PIECE = 1 << 20
 BLOCK = 1 << 20
+#: Bytes that the different contents of a name, taken as 2 * min_bytes long each, may have to go through one transform.
+MAX_NAME = 4 * BLOCK
+#: Different contents of a name that shares a block with names near it at most.
+MAX_SHARED = 64
+#: Rows of a content above which its rows are found without a shuffle on it; of such contents, so many are broadcast at most.
+HOT_ROWS, MAX_BROADCAST, SALTS = 10_000, 10_000, 64
 SEPARATOR = 0xFF  # never a byte of UTF-8
 FRAGMENT = "rid long, d long, s int, e int, key long, fh long"
 SPAN = "rid long, d long, s int, e int"
@@ -209,7 +216,7 @@ def spans_of(windows: np.ndarray, min_bytes: int) -> list[tuple[int, int]]:
 
 
 def _slice_texts(min_bytes: int):
-    """Rows (rid, d, text, parts of block, s, e) to slices, one for fragments of a block whose windows follow one another."""
+    """Rows (rid, d, text, parts of crowded, block, s, e) to slices, one for fragments of a block whose windows follow one another; a crowded name's fragments stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,18 +224,48 @@ def _slice_texts(min_bytes: int):
             for rid, d, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = text or b""
                 held: list = []
-                for block, s, e in sorted((p["block"], p["s"], p["e"]) for p in {(p["block"], p["s"], p["e"]): p for p in parts}.values()):
-                    if held and held[0] == block and s == held[2] - min_bytes + 1:
-                        held[2] = e
+                for crowded, block, s, e in sorted({(p["crowded"], p["block"], p["s"], p["e"]) for p in parts}):
+                    if held and not crowded and held[:2] == [crowded, block] and s == held[3] - min_bytes + 1:
+                        held[3] = e
                     else:
                         if held:
-                            out.append((held[0], rid, d, held[1], text[held[1] : held[2]]))
-                        held = [block, s, e]
+                            out.append((*held[:2], rid, d, held[2], text[held[2] : held[3]]))
+                        held = [crowded, block, s, e]
                 if held:
-                    out.append((held[0], rid, d, held[1], text[held[1] : held[2]]))
+                    out.append((*held[:2], rid, d, held[2], text[held[2] : held[3]]))
             if out:
-                b, r, d, s, t = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(t, pa.binary())], names=["block", "rid", "d", "s", "part"])
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["crowded", "block", "rid", "d", "s", "part"])
+
+    return run
+
+
+def window_hashes(a: np.ndarray, min_bytes: int) -> np.ndarray:
+    """A hash of the ``min_bytes`` bytes from each position, made of those of two overlapping parts."""
+    width = 1 << (min_bytes.bit_length() - 1)
+    h = _anchor_hash(a, width)
+    n, shift = len(a) - min_bytes + 1, min_bytes - width
+    both = h[:n] * np.uint64(0x9E3779B97F4A7C15) + (h[shift : shift + n] ^ (h[shift : shift + n] >> np.uint64(29)))
+    both ^= both >> np.uint64(32)
+    return both * _MIX
+
+
+def _hash_windows(min_bytes: int):
+    """Slices of crowded names to windows: name, hash, place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                parts = some.column(4).to_pylist()
+                sizes = np.array([len(x) for x in parts])
+                starts = np.cumsum(sizes) - sizes
+                n = sizes - min_bytes + 1
+                row = np.repeat(np.arange(len(parts)), n)
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                w = window_hashes(np.frombuffer(b"".join(parts), np.uint8), min_bytes)[starts[row] + within]
+                key, rid, d, s = (some.column(i).to_numpy(zero_copy_only=False)[row] for i in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(w.view(np.int64)), pa.array(rid), pa.array(d), pa.array((s + within).astype(np.int32))], names=["key", "w", "rid", "d", "s"])
 
     return run
 
@@ -307,24 +344,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = scratch.table(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     again = scratch.table(named.join(twice, "key"))
     scratch.drop(named, twice)
-    same_key = W.Window.partitionBy("key")
-    contents = scratch.table(
-        again.groupBy("key", "fh")
-        .agg(F.count("*").alias("n"), F.min(F.struct("rid", "d", "s", "e")).alias("one"))
-        .select("key", "fh", "n", "one", F.count("*").over(same_key).alias("n_contents"), F.min("one").over(same_key).alias("first"))
-    )
+    contents = scratch.table(again.groupBy("key", "fh").agg(F.count("*").alias("n"), F.min(F.struct("rid", "d", "s", "e")).alias("one")))
+    names = scratch.table(contents.groupBy("key").agg(F.count("*").alias("n_contents"), F.min("one").alias("first")).where("n_contents > 1"))
+    hot = scratch.table(contents.where(F.col("n") > HOT_ROWS).select("key", "fh"))
     whole = again.join(contents.where("n > 1").select("key", "fh"), ["key", "fh"]).select("rid", "d", "s", "e")
+    if not hot.isEmpty():
+        left, right, on = again, F.broadcast(hot), ["key", "fh"]
+        if not fits(hot, MAX_BROADCAST):
+            left, right, on = again.withColumn("salt", F.pmod(F.xxhash64("rid", "d", "s"), F.lit(SALTS)).cast("int")), hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"]
+        cold = left.join(right, on, "left_anti").join(contents.where(F.col("n").between(2, HOT_ROWS)).select("key", "fh"), ["key", "fh"])
+        whole = cold.select("rid", "d", "s", "e").unionByName(left.join(right, on).select("rid", "d", "s", "e"))
     # fragments near one another in the first document that has them share a block, so that neighbours join into longer slices
+    crowded = F.col("n_contents") * (2 * min_bytes) > MAX_NAME
+    block = F.when(F.col("n_contents") > MAX_SHARED, F.col("key")).otherwise(F.xxhash64("first.rid", "first.d", F.expr("first.s div 2048")))
     parts = (
-        contents.where("n_contents > 1")
-        .select("one.rid", "one.d", F.struct(F.xxhash64("first.rid", "first.d", F.expr("first.s div 2048")).alias("block"), "one.s", "one.e").alias("part"))
+        contents.join(names, "key")
+        .select("one.rid", "one.d", F.struct(crowded.alias("crowded"), block.alias("block"), "one.s", "one.e").alias("part"))
         .groupBy("rid", "d")
         .agg(F.collect_list("part").alias("parts"))
     )
-    slices = keyed.join(parts, ["rid", "d"]).select("rid", "d", "t", "parts").mapInArrow(_slice_texts(min_bytes), "block long, rid long, d long, s int, part binary")
-    dealt = slices.repartition("block").sortWithinPartitions("block", "rid", "d", "s")
+    slices = scratch.table(keyed.join(parts, ["rid", "d"]).select("rid", "d", "t", "parts").mapInArrow(_slice_texts(min_bytes), "crowded boolean, block long, rid long, d long, s int, part binary"))
+    dealt = slices.where("not crowded").select("block", "rid", "d", "s", "part").repartition("block").sortWithinPartitions("block", "rid", "d", "s")
     mixed = dealt.mapInArrow(_expand_blocks(min_bytes), SPAN)
-    return whole.unionByName(mixed).groupBy("rid", "d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    windows = slices.where("crowded").select("block", "rid", "d", "s", "part").mapInArrow(_hash_windows(min_bytes), "key long, w long, rid long, d long, s int")
+    equal = scratch.table(windows.groupBy("key", "w").agg(F.count("*").alias("n")).where("n > 1").select("key", "w"))
+    hit = windows.join(equal, ["key", "w"]).select("rid", "d", "s", (F.col("s") + min_bytes).alias("e"))
+    return whole.unionByName(mixed).unionByName(hit).groupBy("rid", "d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
