@@ -72,6 +72,32 @@ def test_repeats_of_odd_texts(spark):
     assert suffix_dedup.repeat_report(docs.limit(0)).count() == 0 and suffix_dedup.strip_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("limit", "broadcast"), [(1, 0), (8, 100)])
+def test_crowded_names_and_hot_contents(spark, monkeypatch, limit, broadcast):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    common, other = word(330), word(210)
+    texts = [word(rng.randint(0, 90)) + common + word(rng.randint(0, 90)) for _ in range(60)] + [word(40) + other[:200] + word(9) for _ in range(12)] + [other + word(5), common, common, None, ""]
+    texts += texts[:6]
+    rows = [*enumerate(texts), (0, texts[0]), (None, common)]
+    for name, value in {"MAX_NAME": 400 * limit, "MAX_SHARED": 4, "HOT_ROWS": 3, "MAX_BROADCAST": broadcast}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_repeats(rows, suffix_dedup.repeat_report(docs).collect())
+
+
+def test_equal_windows_have_equal_hashes():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2, 3000).astype(np.uint8)
+    a[1000:1400], a[2000:2400] = a[:400], a[:400]
+    for m in (137, 200, 256):
+        h = suffix_dedup.window_hashes(a, m)
+        seen = {}
+        for p in range(len(a) - m + 1):
+            assert seen.setdefault(a[p : p + m].tobytes(), h[p]) == h[p]
+        assert len(set(seen.values())) == len(seen) < len(h)
+
+
 def test_a_large_block_is_split(monkeypatch):
     rng = random.Random(6)
     base = bytes(rng.choice(b"abcdefgh") for _ in range(500))
@@ -120,6 +146,26 @@ def test_fingerprints_and_components(spark, sf, rows):
     assert Counter((r["doc"], r["f0"] % 2**64, r["component"]) for r in got) == Counter(want)
 
 
+def test_crowded_buckets_meet_in_hamming_balls(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(400)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(300)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(300)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rows = [*enumerate(texts), (900, None), (901, ""), (None, texts[0])]
+    monkeypatch.setattr(simhash, "MAX_BUCKET", 2)
+    got = simhash.simhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = [brute_print(t) for _, t in rows]
+    want = least_ids([i for i, _ in rows], prints, 2)
+    assert len(set(want)) < len(set(prints))
+    assert Counter((r["doc"], r["f0"] % 2**64, r["component"]) for r in got) == Counter(zip([i for i, _ in rows], prints, want, strict=True))
+
+
 def test_spark_and_python_hash_alike(spark):
     s = "a bc déf"
     assert spark.sql(f"select xxhash64('{s}')").first()[0] % 2**64 == xxhash.xxh64_intdigest(s.encode(), 42)
