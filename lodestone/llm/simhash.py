@@ -6,7 +6,9 @@ fingerprint is 1 if set in over half of the shingles' hashes (XXH64, seed 42; wo
 64 bits mix that hash further). Equal fingerprints are one node. Each node is put into a table under the value of
 each segment of its fingerprint and, for segments with radius 1, under the values one set
 bit away; two nodes whose segment values differ in one bit meet under the larger one. Nodes that meet are compared over
-all bits. A crowded bucket yields a spanning forest of its links, not all pairs.
+all bits. A bucket of some nodes yields a spanning forest of its links, not all pairs. Where 2 of 64 bits may differ, the nodes
+of buckets with more than ``MAX_BUCKET`` don't gather there: they meet at the fingerprints one bit from them or
+fewer, of which each has 65 nodes at most, and two nodes have one in common exactly if they link.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .components import stars
 SEED = 42
 CHUNK = 100_000
 CROWD = 16
+MAX_BUCKET = 4096
 
 
 def _more_bits(h: np.ndarray, word: int) -> np.ndarray:
@@ -182,6 +185,13 @@ def _link(distance: int, n_words: int):
     return run
 
 
+def _ball_links(nodes: DataFrame) -> DataFrame:
+    """Links u, v that connect the 64-bit fingerprints f0 of nodes just as all links of up to 2 bits do: each to the least one beside a shared neighbour."""
+    balls = nodes.select("node", F.expr("explode(concat(array(f0), transform(sequence(0, 63), b -> f0 ^ shiftleft(1L, b))))").alias("centre"))
+    least = balls.groupBy("centre").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return balls.join(least, "centre").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, bits: int = 64, distance: int = 2, segments: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """rid, d, doc, f0.. (the fingerprint), root (a number of the component), component (its least id; null if it has no id but null).
 
@@ -198,8 +208,14 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node = F.col("f0") if n_words == 1 else F.xxhash64(*f)
     nodes = scratch.table(rows.groupBy(*f).agg(F.min(F.coalesce("doc", F.lit(2**63 - 1))).alias("least")).select(node.alias("node"), *f, "least"))
     dealt = nodes.select("node", *f).mapInArrow(_deal(segments, n_words), "bucket long, node long, " + ", ".join(f"{x} long" for x in f))
+    found = None
+    if (bits, distance) == (64, 2):
+        crowded = scratch.table(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET).select("bucket"))
+        if not crowded.isEmpty():
+            found = _ball_links(dealt.join(crowded, "bucket", "left_semi").select("node", "f0").distinct())
+            dealt = dealt.join(crowded, "bucket", "left_anti")
     links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link(distance, n_words), "u long, v long")
-    star = stars(links, scratch)
+    star = stars(links if found is None else links.unionByName(found), scratch)
     rooted = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(*f, "least", F.coalesce("root", "node").alias("root"))
     # written, so that the join on root, which many rows may share, has plain exchanges on both sides and can be split
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component")))
