@@ -18,7 +18,7 @@ from lodestone.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from lodestone.llm._shared import Scratch, table
 
 SHINGLE, BITS, DISTANCE = 5, 128, 24
-SEGMENTS = [(first, 16, 1) for first in range(0, BITS, 16)]
+SEGMENTS = [(word + first, 21, 2) for word in (0, 64) for first in (0, 21, 42)]
 MIN_BYTES = 200
 MAX_REPEATS = 1.5
 

@@ -5,7 +5,8 @@ counted with repeats (fewer words: the whole sequence; none: fingerprint zero).
 fingerprint is 1 if set in over half of the shingles' hashes (XXH64, seed 42; words after the first
 64 bits mix that hash further). Equal fingerprints are one node. Each node is put into a table under the value of
 each segment of its fingerprint and, for segments with radius 1, under the values one set
-bit away; two nodes whose segment values differ in one bit meet under the larger one. Nodes that meet are compared over
+bit away; two nodes whose segment values differ in one bit meet under the larger one. With radius 2 it is put under all values one bit
+away, and two that differ in two bits meet between them. Nodes that meet are compared over
 all bits. A bucket of some nodes yields a spanning forest of its links, not all pairs. Where 2 of 64 bits may differ, the nodes
 of buckets with more than ``MAX_BUCKET`` don't gather there: they meet at the fingerprints one bit from them or
 fewer, of which each has 65 nodes at most, and two nodes have one in common exactly if they link.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import NULL_ID, Scratch, row_key
@@ -92,25 +93,24 @@ def _fingerprint(size: int, n_words: int):
 
 
 def segment_keys(prints: np.ndarray, segments: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """segments: (first bit, bits, radius 0 or 1), none across 64-bit words. Yields rows and the bucket of each."""
+    """segments: (first bit, bits, radius 0 to 2), none across 64-bit words. Yields rows and the bucket of each."""
     everyone = np.arange(len(prints))
     for k, (first, bits, radius) in enumerate(segments):
         value = (prints[:, first // 64].view(np.uint64) >> np.uint64(first % 64)) & np.uint64((1 << bits) - 1)
         tag = np.uint64(k << 56)
         yield everyone, (value | tag).view(np.int64)
         for b in range(bits if radius else 0):
-            rows = np.flatnonzero((value >> np.uint64(b)) & np.uint64(1) == 0)
-            yield rows, (value[rows] | np.uint64(1 << b) | tag).view(np.int64)
+            rows = everyone if radius == 2 else np.flatnonzero((value >> np.uint64(b)) & np.uint64(1) == 0)
+            yield rows, (value[rows] ^ np.uint64(1 << b) | tag).view(np.int64)
 
 
 def _deal(segments: list[tuple[int, int, int]], n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            prints = np.stack([batch.column(1 + w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
+            prints = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
             for rows, bucket in segment_keys(prints, segments):
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[rows])] + [pa.array(prints[rows, w]) for w in range(n_words)], names=["bucket", "node", *(f"f{w}" for w in range(n_words))])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket)] + [pa.array(prints[rows, w]) for w in range(n_words)], names=["bucket", *(f"f{w}" for w in range(n_words))])
 
     return run
 
@@ -160,23 +160,23 @@ def bucket_links(bucket: np.ndarray, node: np.ndarray, prints: np.ndarray, dista
 
 def _link(distance: int, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def solve(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if not held:
                 return
-            bucket, node, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, prints = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
-            held, size = ([(bucket[cut:], node[cut:], prints[cut:])] if cut < len(bucket) else []), len(bucket) - cut
-            u, v = bucket_links(bucket[:cut], node[:cut], prints[:cut], distance)
+            held, size = ([(bucket[cut:], prints[cut:])] if cut < len(bucket) else []), len(bucket) - cut
+            u, v = bucket_links(bucket[:cut], np.arange(cut), prints[:cut], distance)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[x, w]) for x in (u, v) for w in range(n_words)], names=[f"{x}{w}" for x in "uv" for w in range(n_words)])
 
         for batch in batches:
-            prints = np.stack([batch.column(2 + w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), prints))
+            prints = np.stack([batch.column(1 + w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), prints))
             size += len(prints)
             if size >= 2 * sum(len(h[0]) for h in held[:1]) and size >= 100_000:
                 yield from solve(False)
@@ -205,16 +205,20 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     f = [f"f{w}" for w in range(n_words)]
     sent = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
     rows = scratch.table(sent.mapInArrow(_fingerprint(words, n_words), "rid long, d long, doc long, " + ", ".join(f"{x} long" for x in f)))
-    node = F.col("f0") if n_words == 1 else F.xxhash64(*f)
-    nodes = scratch.table(rows.groupBy(*f).agg(F.min(F.coalesce("doc", F.lit(2**63 - 1))).alias("least")).select(node.alias("node"), *f, "least"))
-    dealt = nodes.select("node", *f).mapInArrow(_deal(segments, n_words), "bucket long, node long, " + ", ".join(f"{x} long" for x in f))
+
+    def name(*words: str) -> Column:
+        return F.col(words[0]) if n_words == 1 else F.xxhash64(*words)
+
+    nodes = scratch.table(rows.groupBy(*f).agg(F.min(F.coalesce("doc", F.lit(2**63 - 1))).alias("least")).select(name(*f).alias("node"), *f, "least"))
+    dealt = nodes.select(*f).mapInArrow(_deal(segments, n_words), "bucket long, " + ", ".join(f"{x} long" for x in f))
     found = None
     if (bits, distance) == (64, 2):
         crowded = scratch.table(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET).select("bucket"))
         if not crowded.isEmpty():
-            found = _ball_links(dealt.join(crowded, "bucket", "left_semi").select("node", "f0").distinct())
+            found = _ball_links(dealt.join(crowded, "bucket", "left_semi").select(F.col("f0").alias("node"), "f0").distinct())
             dealt = dealt.join(crowded, "bucket", "left_anti")
-    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link(distance, n_words), "u long, v long")
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link(distance, n_words), ", ".join(f"{x}{w} long" for x in "uv" for w in range(n_words)))
+    links = links.select(*[name(*[f"{x}{w}" for w in range(n_words)]).alias(x) for x in "uv"])
     star = stars(links if found is None else links.unionByName(found), scratch)
     rooted = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(*f, "least", F.coalesce("root", "node").alias("root"))
     # written, so that the join on root, which many rows may share, has plain exchanges on both sides and can be split
