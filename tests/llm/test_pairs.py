@@ -171,7 +171,8 @@ def test_spark_and_python_hash_alike(spark):
     assert spark.sql(f"select xxhash64('{s}')").first()[0] % 2**64 == xxhash.xxh64_intdigest(s.encode(), 42)
 
 
-def test_every_close_pair_meets_also_in_a_crowd():
+@pytest.mark.parametrize("segments", [[(0, 32, 1), (32, 32, 0)], [(0, 64, 2)]])
+def test_every_close_pair_meets_also_in_a_crowd(segments):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     prints = [int(b) for b in base]
@@ -183,7 +184,7 @@ def test_every_close_pair_meets_also_in_a_crowd():
             prints.append(x)
     prints = list(dict.fromkeys(prints))
     a = np.array(prints, np.uint64).view(np.int64)[:, None]
-    rows, buckets = (np.concatenate(x) for x in zip(*simhash.segment_keys(a, [(0, 32, 1), (32, 32, 0)]), strict=True))
+    rows, buckets = (np.concatenate(x) for x in zip(*simhash.segment_keys(a, segments), strict=True))
     order = np.argsort(buckets, kind="stable")
     u, v = simhash.bucket_links(buckets[order], np.arange(len(prints))[rows[order]], a[rows[order]], 2)
     up = list(range(len(prints)))
