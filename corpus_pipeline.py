@@ -1,8 +1,8 @@
 """A training-corpus pipeline: quality rules, near-dedup, repeated passages, mixing, packing.
 
 Each stage reads all that the one before kept, from Parquet in the shared folder. Near-duplicates are texts whose five-word
-shingles are 0.8 alike or more: with 128-bit fingerprints that is 19 differing bits on average, and 24 are let
-differ, as copies spread by 4; unrelated texts differ in 64. Passages of 200 bytes or more that occur twice go from every document.
+shingles are 0.8 alike or more: with 256-bit fingerprints that is 39 differing bits on average, and 46 are let
+differ, as copies spread by 6; unrelated texts differ in 128. They meet in segments of the first 128 bits. Passages of 200 bytes or more that occur twice go from every document.
 Mixing repeats rows of small sources, up to half of them, and drops no row.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from lodestone.llm._shared import Scratch, table
 
-SHINGLE, BITS, DISTANCE = 5, 128, 24
+SHINGLE, BITS, DISTANCE = 5, 256, 46
 SEGMENTS = [(word + first, 21, 2) for word in (0, 64) for first in (0, 21, 42)]
 MIN_BYTES = 200
 MAX_REPEATS = 1.5
