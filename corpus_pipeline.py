@@ -1,8 +1,7 @@
 """A training-corpus pipeline: quality rules, near-dedup, repeated passages, mixing, packing.
 
-Each stage reads all that the one before kept, from Parquet in the shared folder. Near-duplicates are texts whose five-word
-shingles are 0.8 alike or more: with 128-bit fingerprints that is 19 differing bits on average, and 24 are let
-differ, as copies spread by 4; unrelated texts differ in 64. Passages of 200 bytes or more that occur twice go from every document.
+Each stage reads all that the one before kept, from Parquet in the shared folder. Near-duplicates are texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more; each link is confirmed on the sets, and no such pair is missed. Passages of 200 bytes or more that occur twice go from every document.
 Mixing repeats rows of small sources, up to half of them, and drops no row.
 """
 
@@ -14,11 +13,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, quality_rules, simhash, suffix_dedup
+from lodestone.llm import mixing, near_copies, packing, quality_rules, suffix_dedup
 from lodestone.llm._shared import Scratch, table
 
-SHINGLE, BITS, DISTANCE = 5, 128, 24
-SEGMENTS = [(word + first, 21, 2) for word in (0, 64) for first in (0, 21, 42)]
+#: The similarity as a fraction, so that it is compared exactly.
+SHINGLE, SIMILARITY = 5, (4, 5)
 MIN_BYTES = 200
 MAX_REPEATS = 1.5
 
@@ -28,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=SHINGLE, bits=BITS, distance=DISTANCE, segments=SEGMENTS)
+    return near_copies.keep_one(docs, words=SHINGLE, ratio=SIMILARITY)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
-    ("simhash_near_dedup", near_dedup),
+    ("near_dedup", near_dedup),
     ("suffix_array_dedup", passages),
     ("source_mixing", mix),
     ("packing", pack),
