@@ -2,7 +2,8 @@
 
 Each stage reads all that the one before kept, from Parquet in the shared folder. Near-duplicates are texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more; each link is confirmed on the sets, and no such pair is missed. Passages of 200 bytes or more that occur twice go from every document.
-Mixing repeats rows of small sources, up to half of them, and drops no row.
+Mixing repeats rows of small sources, up to half of them, and drops no row; its output is in the
+order of the mix, which packing reads.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).select("row.*")
+    mixed = mixing.mix(docs, max_repeats=MAX_REPEATS)
+    return mixed.repartitionByRange("place").sortWithinPartitions("place").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
