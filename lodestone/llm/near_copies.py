@@ -5,7 +5,8 @@ Shingles are those of ``simhash`` (a text of fewer words is one shingle; without
 of both, and the first one they share leaves room for the overlap that s asks; so nodes meet under those shingles.
 The order puts shingles that many of a sample of texts have last, which is a matter of speed only. Nodes that share a shingle
 are first compared with one of them, which differs from shingle to shingle; then with all
-others there that those links haven't joined to them. Every link is confirmed on the whole sets.
+others there that those links haven't joined to them. Each set has a bit map, of parities: two differ in no more bits than the sets do in
+shingles, so pairs whose maps differ in too many aren't similar. The rest is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .simhash import SEED, shingle_hashes
 
 #: Texts sampled for the order of shingles, and how many common ones of them are known.
 SAMPLE, COMMON = 10_000, 100_000
+#: 64-bit words of a set's map.
+MAP = 8
 Ratio = tuple[int, int]
 
 
@@ -43,6 +46,12 @@ def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, ratio: Rat
     return hashes[np.lexsort((hashes, count))][: n - -(-ratio[0] * n // ratio[1]) + 1]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each value of the hashes' lowest bits: whether an odd number of them has it."""
+    odd = np.bincount((hashes & np.uint64(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _flat(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,18 +66,53 @@ def _entries(size: int, common: np.ndarray, times: np.ndarray, ratio: Ratio):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, keys = [], [], []
+            node, n, keys, maps = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = shingle_set(t or b"", size)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 n.append(len(h))
+                maps.append(parities(h))
                 keys.append(prefix(h, common, times, ratio).view(np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], names=["rid", "d", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(maps, pa.list_(pa.int64())), lists], names=["rid", "d", "node", "n", "map", "keys"])
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries (key, node, n, place) in order of key and node, those whose key has two nodes or more, once each, and the centre of each key."""
+    names = ["key", "node", "n", "place"]
+    held: list[np.ndarray] = []
+    size = 0
+
+    def solve(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        if not held:
+            return
+        x = np.concatenate(held, axis=1)
+        cut = x.shape[1] if last else int(np.searchsorted(x[0], x[0, -1]))
+        held, size = [x[:, cut:]], x.shape[1] - cut
+        x = x[:, :cut]
+        if not cut:
+            return
+        x = x[:, np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)))]
+        first = np.flatnonzero(np.concatenate(([True], x[0, 1:] != x[0, :-1])))
+        many = np.diff(np.append(first, x.shape[1]))
+        # node xor key orders the nodes of each key in another way
+        centre = np.repeat(np.minimum.reduceat(x[0] ^ x[1], first), many) ^ x[0]
+        x, centre = x[:, np.repeat(many > 1, many)], centre[np.repeat(many > 1, many)]
+        for at in range(0, len(centre), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (*x, centre)], names=[*names, "centre"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
+        size += batch.num_rows
+        if size >= 100_000 and size >= 2 * held[0].shape[1]:
+            yield from solve(False)
+    yield from solve(True)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,20 +151,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = seen.groupBy("key").agg(F.count("*").alias("times")).where("times > 2").orderBy(F.desc("times"), "key").limit(COMMON).collect()
     common, times = np.array([r["key"] for r in often], np.int64).view(np.uint64), np.array([r["times"] for r in often], np.int64)
     order = np.argsort(common)
-    made = scratch.table(sent.mapInArrow(_entries(words, common[order], times[order], ratio), "rid long, d long, node long, n int, keys array<long>"))
+    made = scratch.table(sent.mapInArrow(_entries(words, common[order], times[order], ratio), "rid long, d long, node long, n int, map array<long>, keys array<long>"))
     rows = made.select("rid", "d", "node")
-    entries = made.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    # node xor key orders the nodes of each key in another way
-    own = F.col("node").bitwiseXOR(F.col("key"))
-    keys = entries.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("centre"))
-    met = scratch.table(entries.join(keys, "key").distinct())
-    live = met.select("node").distinct()
-    texts = rows.join(live, "node").groupBy("node").agg(F.min(F.struct("d", "rid")).alias("k")).select("node", "k.d", "k.rid")
-    sets = scratch.table(sent.join(texts, ["rid", "d"]).select("node", "t").dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, s array<long>"))
+    entries = made.select(F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, i as place))")).alias("e"), "node", "n").select("e.key", "node", "n", "e.place")
+    met = scratch.table(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "key long, node long, n long, place long, centre long"))
+    maps = made.select("node", "n", "map").dropDuplicates(["node"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = maps.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("map").alias("x")), maps.select(F.col("node").alias("v"), F.col("n").alias("k"), F.col("map").alias("y"))
+        apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
+        likely = scratch.table(pairs.join(a, "u").join(b, "v").where((ratio[0] + ratio[1]) * apart <= (ratio[1] - ratio[0]) * (F.col("m") + F.col("k"))).select("u", "v"))
+        live = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+        texts = rows.join(live, "node").groupBy("node").agg(F.min("d").alias("d"), F.min_by("rid", F.struct("d", "rid")).alias("rid"))
+        sets = scratch.table(sent.join(texts, ["rid", "d"]).select("node", "t").dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, s array<long>"))
         a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
-        return scratch.table(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
+        return scratch.table(likely.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
 
     def named(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
