@@ -25,8 +25,8 @@ from .simhash import SEED, shingle_hashes
 
 #: Texts sampled for the order of shingles, and how many common ones of them are known.
 SAMPLE, COMMON = 10_000, 100_000
-#: 64-bit words of a set's map.
-MAP = 8
+#: 64-bit words of a set's map, and texts that a worker holds at once.
+MAP, SLICE = 8, 1_000
 Ratio = tuple[int, int]
 
 
@@ -52,9 +52,15 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _flat(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", size).view(np.int64))], names=["key"])
 
@@ -65,7 +71,7 @@ def _entries(size: int, common: np.ndarray, times: np.ndarray, ratio: Ratio):
     """Of each text its key, node and number of shingles; and for each shingle of the prefix, its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             node, n, keys, maps = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = shingle_set(t or b"", size)
@@ -115,7 +121,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
