@@ -11,7 +11,7 @@ from .functions import parsing as P
 from .functions import text as T
 from .operators import chunking, datasets, evaluation, facts, judging, matching, mining, retrieval, tools
 from .providers import OverlapReranker
-from .session import dense_index, table, top_k
+from .session import dense_index, table
 from .sources import corpora, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,9 +570,8 @@ def rubric_markdown_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def qa_quota_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("source", "doc_id", F.left("text", F.lit(30)).alias("question"), F.expr("case when doc_id % 3 = 0 then 'complex' else 'simple' end").alias("complexity"))
-    few = top_k(rows, ["source"], [F.col("doc_id")], 40, "n").drop("n")
-    return facts.accept(few, "source", "doc_id", "question", "complexity", 10, 0.7)
+    rows = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("question"), F.expr("case when doc_id % 3 = 0 then 'complex' else 'simple' end").alias("complexity"))
+    return facts.accept(rows, "source", "doc_id", "question", "complexity", 10, 0.7)
 
 
 FACT = "'<fact><statement> S' || (doc_id % 4) || ' </statement><doc_ids>' || doc_id || ', 3,' || doc_id || '</doc_ids><fact_id>7</fact_id><mentioned_entities>A, a, ' || source || ',B</mentioned_entities></fact>'"

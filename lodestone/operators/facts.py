@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.text import collapse_key, single_line, strip
+from ..session import top_k
 from .matching import required
 
 
@@ -140,7 +142,7 @@ def fill_quota(candidates: list[tuple[str, str]], target: int, complex_ratio: fl
     """Numbers of the candidates (question, complexity) accepted in order: a simple one only while slots are left beyond the complex ones still due."""
     due, taken, seen = required(target, complex_ratio), [], set()
     for i, (question, complexity) in enumerate(candidates):
-        key = " ".join((question or "").lower().split())
+        key = question_key(question)
         left = target - len(taken)
         if not left:
             break
@@ -152,14 +154,31 @@ def fill_quota(candidates: list[tuple[str, str]], target: int, complex_ratio: fl
     return taken
 
 
+def question_key(question: str | None) -> str:
+    """What questions that count as repeats share; empty if blank."""
+    return " ".join((question or "").lower().split())
+
+
+def _key_digests(questions: pd.Series) -> pd.Series:
+    return pd.Series([hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=16).digest() if (k := question_key(q)) else None for q in questions], dtype=object)
+
+
 def accept(candidates: DataFrame, entity: str, order: str, question: str, complexity: str, target: int, complex_ratio: float) -> DataFrame:
-    """fill_quota for each entity; its candidates are few, as many as attempts."""
+    """fill_quota for each entity, over all its candidates, of which it sees those that the rule can look at: of complex and other
+    ones each the first row of a question, and of those 2 * target. A simple one that is passed over stays so, as its repeats do; and of
+    2 * target different questions, those taken before can be ``target`` at most."""
+    names = candidates.columns
+    keyed = candidates.withColumn("_key", F.pandas_udf(_key_digests, "binary")(question)).withColumn("_hard", F.coalesce(F.col(complexity) == "complex", F.lit(False))).where("_key is not null")
+    first = keyed.groupBy(F.col(entity).alias("_e"), F.col("_hard").alias("_h"), F.col("_key").alias("_k")).agg(F.min(order).alias("_o"))
+    near = top_k(first, ["_e", "_h"], [F.asc_nulls_last("_o"), F.col("_k")], 2 * target, "_n")
+    same = F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_hard") == F.col("_h")) & (F.col("_key") == F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
+    few = keyed.join(near, same).select(*names)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         return rows.iloc[fill_quota(list(zip(rows[question], rows[complexity], strict=True)), target, complex_ratio)]
 
-    return candidates.groupBy(entity).applyInPandas(run, candidates.schema)
+    return few.groupBy(entity).applyInPandas(run, candidates.schema)
 
 
 def run_status(requested: int, generated: int, failed: bool = False) -> str:
