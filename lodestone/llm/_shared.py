@@ -8,32 +8,52 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import ship
+from ..session import table as _read
 
 __all__ = ["NULL_ID", "Scratch", "row_key", "shared_dir", "table"]
 
 #: Stands for a null id inside join keys; no operator returns it.
 NULL_ID = -(2**63)
+#: Bytes of a batch that a Python stage gets, so that its memory follows neither the number nor the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors and bounds the batches of Python stages."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return _read(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all run in this process, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation."""
+    """Intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation. The folder goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1

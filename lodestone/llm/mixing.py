@@ -4,6 +4,7 @@ A source's weight is its share of the tokens to the power a, normalised. The exp
 mix, at which no source is repeated more than ``max_repeats`` times for each pass of the least repeated one; or the one whose weights have a
 given entropy. The budget, in tokens, is then spent source by source on permutations of its rows: as many whole passes as fit,
 and of one more pass, in the order of a hash, whole blocks, and of one block the rows that fit.
+Each whole pass has a permutation of its own: its blocks are placed by a hash of pass and block, and within a block its rows by a hash of pass and row.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def n_tokens(text: Column) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
+def _unit(hashed: Column) -> Column:
+    """A hash as a number in [0, 1)."""
+    return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
+
+
 def _powers(a: Column) -> Column:
     return F.transform("ns", lambda n: F.pow(n.cast("double") / F.col("total"), a))
 
@@ -72,8 +78,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    unit = F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("_source"), n_tokens(F.col(text_col)).alias("_tokens"), unit.alias("_u"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("_source"), n_tokens(F.col(text_col)).alias("_tokens"), hashed.alias("_hash"), _unit(hashed).alias("_u"))
     light = Scratch(spark, "mixing").table(base.select("_source", "_u", "_tokens"))
     sizes = light.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n_rows"), F.sum("_tokens").alias("n_tokens"))
     plan = weights(sizes, **options).select(
@@ -113,5 +118,9 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     extra = (F.col("_block") <= F.coalesce("_last", F.lit(-1))) | ((F.col("_block") == F.col("_edge")) & (F.col("_u") <= F.col("_until")))
     passes = F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("long")
     out = known.where(passes > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
-    out = out.withColumn("_place", F.least((F.col("_pass") + F.col("_u")) / F.col("_uses"), F.lit(1.0)))
+    # a block is a run of a pass as long as its share, from a point that the pass chooses; the last, partial, pass keeps the order that its cut was made in
+    start = _unit(F.xxhash64(F.lit(seed), F.lit("block"), "_pass", "_source", "_block")) * (1 - 1 / F.col("_blocks"))
+    within = _unit(F.xxhash64(F.lit(seed), F.lit("row"), "_pass", "_hash")) / F.col("_blocks")
+    at = F.when(F.col("_pass") < F.col("_whole"), start + within).otherwise(F.col("_u"))
+    out = out.withColumn("_place", F.least((F.col("_pass") + at) / F.col("_uses"), F.lit(1.0)))
     return out.select("row", F.col("_tokens").alias("tokens"), F.col("_pass").alias("pass"), F.col("_place").alias("place"))

@@ -1,55 +1,55 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filter join that loses no pair.
-
-Shingles are those of ``simhash`` (a text of fewer words is one shingle; without words it has none), as a set of
-64-bit hashes. Equal sets are one node. Sets in one common order can only reach similarity s if a shingle is in the first n - ceil(s n) + 1
-of both, and the first one they share leaves room for the overlap that s asks; so nodes meet under those shingles.
-The order puts shingles that many of a sample of texts have last, which is a matter of speed only. Nodes that share a shingle
-are first compared with one of them, which differs from shingle to shingle; then with all
-others there that those links haven't joined to them. Each set has a bit map, of parities: two differ in no more bits than the sets do in
-shingles, so pairs whose maps differ in too many aren't similar. The rest is confirmed on the whole sets.
+"""Near copies of texts: SimHash by multi-index hashing, each link confirmed by exact Jaccard similarity.
+
+Shingles are those of ``simhash``, as a set of 64-bit hashes (a text of fewer words is one shingle; without words it has none).
+Equal sets are one node. A node's fingerprint has a bit for each of several hundred: set if it is in over half of the set's hashes.
+``layout`` cuts it into segments so wide that a bucket holds few nodes of other texts, and so many that two sets at the asked
+similarity meet with probability 0.99 or more: in some segment they differ in two bits or fewer. A node is put into a table under each
+value of the Hamming ball of radius 1 about each segment; two nodes meet where their balls do. Nodes that meet are compared over all bits,
+and those within ``limit`` are candidates, which are confirmed on the whole sets.
+
+A group of n copies has n * n candidates, so they are tried in two waves: first each node with the least and with the nearest of those that it
+meets in a bucket, and as many pairs more as connect all that meet there. If some node meets others too, all the nodes that candidates connect
+are compared, except where the links found so far have joined them: those outside the group's largest class are dealt, with their sets, to parts of the
+group, and a part confirms its own pairs. So every candidate pair is either confirmed, refused or inside one class, and no task holds a whole group. A
+bucket of more than ``MAX_BUCKET`` nodes is dealt in parts by a hash of the node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, row_key
 from .components import stars
-from .simhash import SEED, shingle_hashes
-
-#: Texts sampled for the order of shingles, and how many common ones of them are known.
-SAMPLE, COMMON = 10_000, 100_000
-#: 64-bit words of a set's map, and texts that a worker holds at once.
-MAP, SLICE = 8, 1_000
+from .simhash import SEED, hash_prints, segment_keys, shingle_hashes
+
+#: Nodes of a bucket on average, at most, and nodes of one that are compared in one task, at most.
+OCCUPANCY, MAX_BUCKET = 256, 4096
+#: Hashes of the sets that a part of a group has, on average, at most.
+PART_HASHES = 500_000
+#: Texts, and pairs of sets, that a worker holds at once.
+SLICE = 500
+#: Of pairs at the asked similarity, the part that may fail to meet.
+MISSED = 0.01
 Ratio = tuple[int, int]
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, ratio: Ratio) -> np.ndarray:
-    """The set's first shingles, rare ones before common ones, of which similar sets share one."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    count = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        count = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((hashes, count))][: n - -(-ratio[0] * n // ratio[1]) + 1]
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """A bit for each value of the hashes' lowest bits: whether an odd number of them has it."""
-    odd = np.bincount((hashes & np.uint64(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def layout(rows: int, ratio: Ratio, missed: float = MISSED) -> tuple[int, list[tuple[int, int, int]], int]:
+    """64-bit words of a fingerprint, segments (first bit, bits, radius 2) and the limit of differing bits, for so many rows."""
+    share = ratio[0] / ratio[1]
+    p = acos(2 * share / (1 + share)) / pi  # that a bit differs, for sets of one size, the worst case
+    width = next(w for w in range(12, 33) if w == 32 or rows * (w + 1) <= OCCUPANCY << w)
+    meet = sum(comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(3))
+    n, per_word = ceil(log(missed) / log(1 - meet)), 64 // width
+    words = max(2, ceil(n / per_word))
+    places = [(64 * (i // per_word) + width * (i % per_word), width, 2) for i in range(n)]
+    return words, places, ceil(64 * words * p + 3 * sqrt(64 * words * p * (1 - p)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,139 +58,264 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _flat(size: int):
+def _nodes(size: int, n_words: int):
+    """Rows (rid, d, text) to their node, fingerprint and set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", size).view(np.int64))], names=["key"])
+            sets = [np.unique(shingle_hashes(t or b"", size)) for t in batch.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            prints = hash_prints(sets, n_words).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(prints[:, w]) for w in range(n_words)), lists], names=["rid", "d", "node", *(f"f{w}" for w in range(n_words)), "s"])
 
     return run
 
 
-def _entries(size: int, common: np.ndarray, times: np.ndarray, ratio: Ratio):
-    """Of each text its key, node and number of shingles; and for each shingle of the prefix, its place."""
+def _deal(segments: list[tuple[int, int, int]], n_words: int):
+    """Nodes (node, fingerprint) to a row for each of their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            node, n, keys, maps = [], [], [], []
-            for t in batch.column(2).to_pylist():
-                h = shingle_set(t or b"", size)
-                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                n.append(len(h))
-                maps.append(parities(h))
-                keys.append(prefix(h, common, times, ratio).view(np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(maps, pa.list_(pa.int64())), lists], names=["rid", "d", "node", "n", "map", "keys"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                prints = np.stack([part.column(1 + w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
+                for rows, bucket in segment_keys(prints, segments):
+                    if len(rows):
+                        take = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), *(c.take(take) for c in part.columns)], names=["bucket", *part.schema.names])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries (key, node, n, place) in order of key and node, those whose key has two nodes or more, once each, and the centre of each key."""
-    names = ["key", "node", "n", "place"]
-    held: list[np.ndarray] = []
-    size = 0
-
-    def solve(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, size
-        if not held:
-            return
-        x = np.concatenate(held, axis=1)
-        cut = x.shape[1] if last else int(np.searchsorted(x[0], x[0, -1]))
-        held, size = [x[:, cut:]], x.shape[1] - cut
-        x = x[:, :cut]
-        if not cut:
-            return
-        x = x[:, np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)))]
-        first = np.flatnonzero(np.concatenate(([True], x[0, 1:] != x[0, :-1])))
-        many = np.diff(np.append(first, x.shape[1]))
-        # node xor key orders the nodes of each key in another way
-        centre = np.repeat(np.minimum.reduceat(x[0] ^ x[1], first), many) ^ x[0]
-        x, centre = x[:, np.repeat(many > 1, many)], centre[np.repeat(many > 1, many)]
-        for at in range(0, len(centre), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (*x, centre)], names=[*names, "centre"])
-
-    for batch in batches:
-        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
-        size += batch.num_rows
-        if size >= 100_000 and size >= 2 * held[0].shape[1]:
-            yield from solve(False)
-    yield from solve(True)
-
+def _within(start: np.ndarray, end: np.ndarray, limit: int, prints: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j, differing bits) of one bucket that may be linked. end: of each row's bucket; apart: labels that must differ."""
+    i, k = start, 1
+    while len(i := i[i + k < end[i]]):
+        j = i + k
+        ok = apart[i] != apart[j]
+        x, y = i[ok], j[ok]
+        bits = np.bitwise_count(prints[x, 0] ^ prints[y, 0]).astype(np.int32)
+        for w in range(1, prints.shape[1]):
+            bits += np.bitwise_count(prints[x, w] ^ prints[y, w])
+        near = bits <= limit
+        if near.any():
+            yield x[near], y[near], bits[near]
+        k += 1
+
+
+def first_pairs(bucket: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node the least and the nearest that it meets in its bucket; and, as pairs of a node with itself, nodes that meet others too."""
+    n = len(bucket)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    degree = np.zeros(n, np.int64)
+    least, close, best = np.full(n, n), np.full(n, n), np.full(n, 1 << 30, np.int32)
+    for i, j, bits in _within(np.arange(n), end, limit, prints, node):
+        for a, b in ((i, j), (j, i)):  # neither has a row twice
+            degree[a] += 1
+            least[a] = np.minimum(least[a], b)
+            nearer = bits < best[a]
+            best[a[nearer]], close[a[nearer]] = bits[nearer], b[nearer]
+    met = np.flatnonzero(degree)
+    pairs = np.concatenate((np.stack((met, least[met])), np.stack((met, close[met]))), axis=1)
+    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+    told = np.bincount(pairs.ravel(), minlength=n)
+    busy = np.flatnonzero(degree > told)
+    if len(busy):  # what these pairs leave apart, though some pair meets, gets one pair more
+        label = _labels(n, pairs)
+        more = [np.zeros((4, 0), np.int64)]
+        for i, j, _ in _within(busy, end, limit, prints, label):
+            more.append(np.stack((np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), i, j)))
+        found = np.concatenate(more, axis=1)
+        pairs = np.concatenate((pairs, found[2:, np.unique(found[:2], axis=1, return_index=True)[1]]), axis=1)
+    return node[np.concatenate((pairs[0], busy))], node[np.concatenate((pairs[1], busy))]
+
+
+def _labels(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The least row that pairs connect to each."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[pairs[0]], label[pairs[1]])
+        np.minimum.at(label, pairs[0], low)
+        np.minimum.at(label, pairs[1], low)
+        label = label[label]
+    return label
+
+
+def _meet(n_words: int, limit: int):
+    """Rows (bucket, part, node, fingerprint), those of a part of a bucket together, to pairs u, v; u = v: a node that meets more."""
 
-def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+        held: list[np.ndarray] = []
+        size = 0
+
+        def solve(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if not held:
+                return
+            x = np.concatenate(held, axis=1)
+            group = np.concatenate(([0], np.cumsum((x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))))
+            cut = x.shape[1] if last else int(np.searchsorted(group, group[-1]))
+            held, size = [x[:, cut:]], x.shape[1] - cut
+            if not cut:
+                return
+            prints = np.ascontiguousarray(x[3:, :cut].T).view(np.uint64)
+            u, v = first_pairs(group[:cut], x[2, :cut], prints, limit)
+            both = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
+            for at in range(0, both.shape[1], 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(both[0, at : at + 50_000]), pa.array(both[1, at : at + 50_000])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + n_words)]))
+            size += batch.num_rows
+            if size >= 50_000 and size >= 2 * held[0].shape[1]:
+                yield from solve(False)
+        yield from solve(True)
 
     return run
 
 
 def _confirm(ratio: Ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             a, b = batch.column(2), batch.column(3)
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = ratio[1] * both >= ratio[0] * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     return run
 
 
-def _room(ratio: Ratio) -> Column:
-    """Whether sets a and b, whose first shared shingle has these places, may be similar."""
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    return (ratio[0] + ratio[1]) * left >= ratio[0] * (F.col("a.n") + F.col("b.n"))
+def part_links(node: np.ndarray, root: np.ndarray, right: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], limit: int, ratio: Ratio) -> list[tuple[int, int]]:
+    """Links that join what the pairs of a ``right`` node with any node join, of those within limit and of similarity ratio; roots that are equal are joined already."""
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    found = []
+    for r in np.flatnonzero(right).tolist():
+        near = np.bitwise_count(prints ^ prints[r]).sum(axis=1, dtype=np.int32) <= limit
+        near &= root != root[r]
+        if not near.any():
+            continue
+        lo, hi = np.searchsorted(every, sets[r], "left"), np.searchsorted(every, sets[r], "right")
+        n = hi - lo
+        both = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)], minlength=len(sets))
+        for x in np.flatnonzero(near & (ratio[1] * both >= ratio[0] * (sizes + sizes[r] - both))).tolist():
+            a, b = top(int(root[r])), top(int(root[x]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((int(node[r]), int(node[x])))
+    return found
+
+
+def _compare(n_words: int, limit: int, ratio: Ratio):
+    """Rows (class, part, right, node, root, fingerprint, set), those of a part of a class together, to links u, v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if held:
+                right, node, root, prints, sets = zip(*held, strict=True)
+                found = part_links(np.array(node), np.array(root), np.array(right), np.stack(prints).view(np.uint64), list(sets), limit, ratio)
+                if found:
+                    u, v = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            group, part, right, node, root = (batch.column(i).to_pylist() for i in range(5))
+            prints = np.stack([batch.column(5 + w).to_numpy(zero_copy_only=False) for w in range(n_words)], axis=1)
+            for i in range(batch.num_rows):
+                if (group[i], part[i]) != key:
+                    yield from solve()
+                    held, key = [], (group[i], part[i])
+                held.append((right[i], node[i], root[i], prints[i].copy(), batch.column(5 + n_words)[i].values.to_numpy().copy()))
+        yield from solve()
+
+    return run
+
 
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, ratio: Ratio = (4, 5)) -> tuple[DataFrame, DataFrame]:
+    """Rows as (rid, d, node), and (node, root) of the nodes that links of Jaccard similarity ratio or more connect to another, which has the least number.
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, ratio: Ratio = (4, 5)) -> DataFrame:
-    """rid, d, root: rows, by their keys, whose texts links of Jaccard similarity ratio or more connect have one root."""
+    Null, empty and word-less texts have one set, the empty one, and so one node. Repeated rows share a node.
+    """
     scratch = Scratch(docs.sparkSession, "near")
+    n_words, segments, limit = layout(docs.count(), ratio)
+    f = [f"f{w}" for w in range(n_words)]
+    kinds = ", ".join(f"{x} long" for x in f)
     sent = docs.select(*row_key(id_col, text_col), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
-    every = max(1, docs.count() // SAMPLE)
-    seen = sent.where(F.pmod("rid", F.lit(every)) == 0).select("t").mapInArrow(_flat(words), "key long")
-    often = seen.groupBy("key").agg(F.count("*").alias("times")).where("times > 2").orderBy(F.desc("times"), "key").limit(COMMON).collect()
-    common, times = np.array([r["key"] for r in often], np.int64).view(np.uint64), np.array([r["times"] for r in often], np.int64)
-    order = np.argsort(common)
-    made = scratch.table(sent.mapInArrow(_entries(words, common[order], times[order], ratio), "rid long, d long, node long, n int, map array<long>, keys array<long>"))
-    rows = made.select("rid", "d", "node")
-    entries = made.select(F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, i as place))")).alias("e"), "node", "n").select("e.key", "node", "n", "e.place")
-    met = scratch.table(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "key long, node long, n long, place long, centre long"))
-    maps = made.select("node", "n", "map").dropDuplicates(["node"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = maps.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("map").alias("x")), maps.select(F.col("node").alias("v"), F.col("n").alias("k"), F.col("map").alias("y"))
-        apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
-        likely = scratch.table(pairs.join(a, "u").join(b, "v").where((ratio[0] + ratio[1]) * apart <= (ratio[1] - ratio[0]) * (F.col("m") + F.col("k"))).select("u", "v"))
-        live = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        texts = rows.join(live, "node").groupBy("node").agg(F.min("d").alias("d"), F.min_by("rid", F.struct("d", "rid")).alias("rid"))
-        sets = scratch.table(sent.join(texts, ["rid", "d"]).select("node", "t").dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, s array<long>"))
-        a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
-        return scratch.table(likely.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
-
-    def named(a: str, b: str) -> list[Column]:
-        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-
-    centres = met.where("node = centre").select("key", "node", "n", "place")
-    first = scratch.table(met.where("node <> centre").alias("a").join(centres.alias("b"), "key").where(_room(ratio)).select(*named("a.node", "b.node")).distinct())
-    links = confirmed(first)
+    made = scratch.table(sent.mapInArrow(_nodes(words, n_words), f"rid long, d long, node long, {kinds}, s array<long>"))
+    nodes = scratch.table(made.select("node", *f).distinct())
+    entries = nodes.mapInArrow(_deal(segments, n_words), f"bucket long, node long, {kinds}")
+
+    def named(star: DataFrame, label: str) -> DataFrame:
+        return star.select(F.col("u").alias("node"), F.col("v").alias(label))
+
+    # a bucket of so many has a value of its segment that a part of them share
+    values = [F.shiftrightunsigned(f"f{at // 64}", at % 64).bitwiseAND((1 << bits) - 1).bitwiseOR(F.lit(k << 56)) for k, (at, bits, _) in enumerate(segments)]
+    often = nodes.select(F.explode(F.array(*values)).alias("value")).groupBy("value").count().where(F.col("count") > MAX_BUCKET // (segments[0][1] + 1))
+    part = F.lit(0).cast("long")
+    if not often.isEmpty():
+        crowded = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET))
+        if not crowded.isEmpty():
+            entries = entries.join(crowded, "bucket", "left")
+            part = F.coalesce(F.expr(f"pmod(xxhash64(node), (n + {MAX_BUCKET - 1}) div {MAX_BUCKET})"), part)
+    dealt = entries.select("bucket", part.alias("part"), "node", *f).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    tried = scratch.table(dealt.mapInArrow(_meet(n_words, limit), "u long, v long").distinct())
+    pairs, busy = tried.where("u <> v"), tried.where("u = v").select(F.col("u").alias("node"))
+    live = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = scratch.table(made.select("node", *f, "s").join(live, "node", "left_semi").dropDuplicates(["node"]))
+    a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
+    links = scratch.table(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
     star = stars(links, scratch)
-    rooted = met.drop("centre").join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    still = scratch.table(rooted.join(open_keys, "key"))
-    rest = still.alias("a").join(still.alias("b"), "key").where("a.root < b.root").where(_room(ratio)).select(*named("a.node", "b.node")).distinct()
-    more = confirmed(rest.join(first, ["u", "v"], "left_anti"))
-    star = stars(links.unionByName(more), scratch)
-    return rows.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("rid", "d", F.coalesce("root", "node").alias("root"))
+    more = scratch.table(_open_parts(sets, named(stars(pairs, scratch), "class"), named(star, "root"), busy, f).mapInArrow(_compare(n_words, limit, ratio), "u long, v long"))
+    if not more.isEmpty():
+        star = stars(links.unionByName(more), scratch)
+    scratch.drop(nodes, tried)
+    return made.select("rid", "d", "node"), named(star, "root")
+
+
+def _open_parts(sets: DataFrame, classes: DataFrame, roots: DataFrame, busy: DataFrame, f: list[str]) -> DataFrame:
+    """The nodes of groups that have pairs not tried yet, dealt so that each outside a group's largest class meets all its nodes in some part."""
+    known = sets.select("node", F.size("s").alias("n")).join(classes, "node", "left").join(roots, "node", "left").join(busy.withColumn("busy", F.lit(1)), "node", "left")
+    known = known.select("node", "n", F.coalesce("class", "node").alias("class"), F.coalesce("root", "node").alias("root"), "busy")
+    sizes = known.groupBy("class", "root").agg(F.sum("n").alias("n"), F.max("busy").alias("busy"))
+    open_ = sizes.groupBy("class").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"), F.max("busy").alias("busy")).where("strays > 0 and busy = 1")
+    parts = open_.select("class", "top", F.expr(f"n div {PART_HASHES} + 1").alias("lefts"), F.expr(f"strays div {PART_HASHES} + 1").alias("rights"))
+    here = known.select("node", "class", "root").join(parts, "class")
+    left = here.select("*", F.lit(False).alias("right"), F.explode(F.expr("sequence(0L, rights - 1)")).alias("y"), F.expr("pmod(xxhash64(node), lefts)").alias("x"))
+    right = here.where("root <> top").select("*", F.lit(True).alias("right"), F.expr("pmod(xxhash64(node, 1), rights)").alias("y"), F.explode(F.expr("sequence(0L, lefts - 1)")).alias("x"))
+    # a node that is on both sides of a part comes once, as a right one
+    dealt = left.unionByName(right).groupBy("class", "root", "node", F.expr("x * rights + y").alias("part")).agg(F.max("right").alias("right"))
+    return dealt.join(sets, "node").select("class", "part", "right", "node", "root", *f, "s").repartition("class", "part").sortWithinPartitions("class", "part", "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with the least id in their class (of rows that share it, one), all columns kept."""
-    kept = similar_classes(docs, id_col, text_col, **options).groupBy("root").agg(F.min(F.struct("d", "rid")).alias("k")).select("k.rid", "k.d")
-    rows = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(kept, ["rid", "d"]).dropDuplicates(["rid", "d"]).select("row.*")
+    """The row of docs with the least id of each class, all columns kept; of rows that share an id, that of least hash of the text, then of the other columns.
+
+    Null, empty and word-less texts are one class, of which one row stays. Rows with a null id count as the least id.
+    """
+    rows, star = similar_classes(docs, id_col, text_col, **options)
+    one = rows.groupBy("node").agg(F.min(F.struct("d", "rid")).alias("k")).join(star, "node", "left")
+    kept = one.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k")).select("k.rid", "k.d")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    return docs.select(*row_key(id_col, text_col), row.alias("row"), order.alias("o")).join(kept, ["rid", "d"]).groupBy("rid", "d").agg(F.min_by("row", "o").alias("row")).select("row.*")
+
+
+__all__ = ["keep_one", "layout", "similar_classes"]

@@ -14,7 +14,7 @@ fewer, of which each has 65 nodes at most, and two nodes have one in common exac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,9 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64, len(words) - size + 1)
 
 
-def fingerprints(texts: list[bytes], size: int, n_words: int) -> np.ndarray:
-    """One row of n_words 64-bit words for each text."""
-    out = np.zeros((len(texts), n_words), np.uint64)
+def hash_prints(hashes: Iterable[np.ndarray], n_words: int, rows: int | None = None) -> np.ndarray:
+    """One row of n_words 64-bit words for each list of hashes; ``rows`` if their number isn't known."""
+    out = np.zeros((len(hashes) if rows is None else rows, n_words), np.uint64)
     held: list[np.ndarray] = []
     at: list[int] = []
     total = 0
@@ -66,12 +66,15 @@ def fingerprints(texts: list[bytes], size: int, n_words: int) -> np.ndarray:
         h, n = np.concatenate(held), np.array([len(x) for x in held])
         starts = np.cumsum(n) - n
         for w in range(n_words):
-            bits = np.unpackbits((_more_bits(h, w) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            counts = np.zeros((len(n), 64), np.int32)
+            for first in range(0, len(h), CHUNK):  # a very long text is counted in parts
+                part = h[first : first + CHUNK]
+                bits = np.unpackbits((_more_bits(part, w) if w else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                own = np.flatnonzero((starts < first + len(part)) & (starts + n > first))
+                counts[own] += np.add.reduceat(bits, np.maximum(starts[own] - first, 0), axis=0, dtype=np.int32)
             out[at, w] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text, size)
+    for i, h in enumerate(hashes):
         if len(h):
             held.append(h)
             at.append(i)
@@ -83,6 +86,10 @@ def fingerprints(texts: list[bytes], size: int, n_words: int) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[bytes], size: int, n_words: int) -> np.ndarray:
+    return hash_prints((shingle_hashes(t, size) for t in texts), n_words, len(texts))
+
+
 def _fingerprint(size: int, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

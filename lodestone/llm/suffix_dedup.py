@@ -329,7 +329,7 @@ def _expand_blocks(min_bytes: int):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> DataFrame:
-    """Key (rid, d) of each row that has repeated bytes, with ``spans``: an array of (s, e), unmerged.
+    """Key (rid, d) of each row that has repeated bytes, with ``spans``: a set of (s, e), unmerged.
 
     Null text is empty. Texts under min_bytes have no spans. Repeated rows are documents of their own, so all their
     windows are repeated. Matches never cross rows. ``min_bytes`` is at least 137.
@@ -369,7 +369,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = slices.where("crowded").select("block", "rid", "d", "s", "part").mapInArrow(_hash_windows(min_bytes), "key long, w long, rid long, d long, s int")
     equal = scratch.table(windows.groupBy("key", "w").agg(F.count("*").alias("n")).where("n > 1").select("key", "w"))
     hit = windows.join(equal, ["key", "w"]).select("rid", "d", "s", (F.col("s") + min_bytes).alias("e"))
-    return whole.unionByName(mixed).unionByName(hit).groupBy("rid", "d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return whole.unionByName(mixed).unionByName(hit).groupBy("rid", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: rows that repeat have their spans once
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
