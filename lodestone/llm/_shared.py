@@ -20,8 +20,9 @@ BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends the package to the executors and bounds the batches of Python stages."""
+    """Sends the package to the executors, bounds the batches of Python stages, and lets joins with a small table filter large ones before their shuffle."""
     ship(spark)
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

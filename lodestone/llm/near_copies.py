@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, row_key
+from ._shared import NULL_ID, Scratch, row_key
 from .components import stars
 from .simhash import SEED, hash_prints, segment_keys, shingle_hashes
 
@@ -58,16 +58,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _nodes(size: int, n_words: int):
-    """Rows (rid, d, text) to their node, fingerprint and set."""
+def _nodes(size: int, n_words: int, with_set: bool):
+    """Rows (rid, d, text) to their node, fingerprint and, if asked, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [np.unique(shingle_hashes(t or b"", size)) for t in batch.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             prints = hash_prints(sets, n_words).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(prints[:, w]) for w in range(n_words)), lists], names=["rid", "d", "node", *(f"f{w}" for w in range(n_words)), "s"])
+            cols, names = [batch.column(0), batch.column(1), pa.array(node), *(pa.array(prints[:, w]) for w in range(n_words))], ["rid", "d", "node", *(f"f{w}" for w in range(n_words))]
+            if with_set:
+                cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))))
+                names.append("s")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -259,9 +262,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     f = [f"f{w}" for w in range(n_words)]
     kinds = ", ".join(f"{x} long" for x in f)
     sent = docs.select(*row_key(id_col, text_col), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
-    made = scratch.table(sent.mapInArrow(_nodes(words, n_words), f"rid long, d long, node long, {kinds}, s array<long>"))
-    nodes = scratch.table(made.select("node", *f).distinct())
-    entries = nodes.mapInArrow(_deal(segments, n_words), f"bucket long, node long, {kinds}")
+    own = f"rid long, d long, node long, {kinds}"
+    made = scratch.table(sent.mapInArrow(_nodes(words, n_words, False), own))
+    nodes = scratch.table(made.groupBy("node", *f).agg(F.min(F.struct("d", "rid")).alias("k")))
+    entries = nodes.select("node", *f).mapInArrow(_deal(segments, n_words), f"bucket long, node long, {kinds}")
 
     def named(star: DataFrame, label: str) -> DataFrame:
         return star.select(F.col("u").alias("node"), F.col("v").alias(label))
@@ -279,7 +283,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = scratch.table(dealt.mapInArrow(_meet(n_words, limit), "u long, v long").distinct())
     pairs, busy = tried.where("u <> v"), tried.where("u = v").select(F.col("u").alias("node"))
     live = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = scratch.table(made.select("node", *f, "s").join(live, "node", "left_semi").dropDuplicates(["node"]))
+    # texts are read again for the few sets that are compared; the condition on the key lets Spark filter texts by a Bloom filter before their shuffle
+    wanted = scratch.table(nodes.join(live, "node", "left_semi").select("k.rid", "k.d"))
+    texts = sent.join(wanted.where(F.col("rid") >= NULL_ID), ["rid", "d"])
+    sets = scratch.table(texts.mapInArrow(_nodes(words, n_words, True), own + ", s array<long>").drop("rid", "d").dropDuplicates(["node"]))
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
     links = scratch.table(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
     star = stars(links, scratch)

@@ -3,7 +3,8 @@
 Each partition is a stream of documents. A document's whole windows are cut off first; the rest goes, online, to the fill
 level that least raises the sum over levels of the squared number of partly filled windows at that level
 (an empty window counts as level zero). What is still open at the end of a stream is cut to whole windows, and the last
-of it to powers of two, so that a stream wastes nothing.
+of it to powers of two, so that a stream wastes nothing. Open windows hold four bytes for each of their tokens, so a stream's
+memory is bounded by its partition, whose size spark.sql.files.maxPartitionBytes sets; how many are open doesn't change what is done.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .token_counts import byte_alphabet
 LENGTH = 2048
 END = 1
 MEMO = 350_000
-#: Open windows of a stream at most; then they are cut as at its end.
-MAX_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,7 +87,6 @@ class Packer:
         self.length = length
         self.count = np.zeros(length + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(length + 1)]
-        self.n_open = 0
 
     def level(self, size: int) -> int:
         """The fill level to which size is added: of least cost, of equals the fullest."""
@@ -111,13 +109,11 @@ class Packer:
         window = self.open[h].pop() if h else []
         if h:
             self.count[h] -= 1
-            self.n_open -= 1
         window.append((doc, start, ids))
         if h + size == self.length:
             return window
         self.open[h + size].append(window)
         self.count[h + size] += 1
-        self.n_open += 1
         return None
 
     def close(self) -> Iterator[list]:
@@ -126,7 +122,6 @@ class Packer:
         left = sum(len(p[2]) for p in pieces)
         self.count[:] = 0
         self.open = [[] for _ in self.open]
-        self.n_open = 0
         window: list = []
         room = 0
         for doc, start, ids in pieces:
@@ -172,9 +167,6 @@ def _pack(path: str, length: int):
                     for start in range(0, len(a), length):
                         if window := packer.add((doc, len(a)), start, a[start : start + length]):
                             emit(window)
-                if packer.n_open > MAX_OPEN:
-                    for window in packer.close():
-                        emit(window)
                 if len(rows) >= 10_000:
                     yield batch_out()
         for window in packer.close():

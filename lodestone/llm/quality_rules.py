@@ -20,6 +20,8 @@ SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_marks", "n_echoes"]
 #: Labelled rows used to fit at most; they are those of least hash.
 MAX_LABELLED = 20_000
+#: Rules of a list, and conditions of a rule, at most.
+MAX_RULES, MAX_CONDITIONS = 16, 6
 
 _KINDS = np.full(256, 3, np.int64)  # 0 white space, 1 continuation byte, 2 symbol, 3 other mark, 4 A-Z, 5 a-z, 6 digit, 7 first byte of a longer character
 _KINDS[[0x20, *range(9, 14)]] = 0
@@ -137,10 +139,10 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
+def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int) -> Rule:
     rule: Rule = []
     inside = np.ones(len(x), bool)
-    while (inside & ~bad).any() and len(rule) < 6:
+    while (inside & ~bad).any() and len(rule) < max_conditions:
         p, n = int((inside & bad).sum()), int((inside & ~bad).sum())
         best, found = 1e-9, None
         for k in range(x.shape[1]):
@@ -162,13 +164,17 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = 16, precision: float = 0.97) -> list[Rule]:
-    """Ordered rules, each of which says reject. x: features of each labelled row, in a fixed order; bad: its label."""
+def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, precision: float = 0.97) -> list[Rule]:
+    """Ordered rules, each of which says reject. x: features of each labelled row, in a fixed order; bad: its label.
+
+    Rules are learned until none is precise enough, ``max_rules`` at most; one grows until it covers no good row, to ``max_conditions`` at most.
+    These two bound the model, as thresholds do, and not the rows that it judges.
+    """
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     test = np.arange(len(x)) % 3 == 2
     while len(rules) < max_rules and (left & bad & ~test).sum() >= 3:
-        rule = _grow(x[left & ~test], bad[left & ~test])
+        rule = _grow(x[left & ~test], bad[left & ~test], max_conditions)
         if not rule:
             break
 
@@ -217,9 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, STATS, base_failed and kept of each row of docs. Without labels no rule is learned, and base failures alone go."""
+    """doc_id, the first five STATS, base_failed, kept, and the other STATS, of each row of docs. Without labels no rule is learned, and base failures alone go."""
     rules = fit(docs, labels, id_col, text_col, **options)
-    return with_stats(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules, list(features())))
+    judged = with_stats(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules, list(features())))
+    return judged.select("doc_id", *STATS[:5], "base_failed", "kept", *STATS[5:])
 
 
 def filter_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
