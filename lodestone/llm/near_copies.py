@@ -7,8 +7,8 @@ similarity meet with probability 0.99 or more: in some segment they differ in tw
 value of the Hamming ball of radius 1 about each segment; two nodes meet where their balls do. Nodes that meet are compared over all bits,
 and those within ``limit`` are candidates, which are confirmed on the whole sets.
 
-A group of n copies has n * n candidates, so they are tried in two waves: first each node with the least and with the nearest of those that it
-meets in a bucket, and as many pairs more as connect all that meet there. If some node meets others too, all the nodes that candidates connect
+A group of n copies has n * n candidates, so they are tried in two waves: first each node with the least of those that it
+meets in a bucket, and as many pairs more as connect all that meet there. If some of a group meet others too, all the nodes that candidates connect
 are compared, except where the links found so far have joined them: those outside the group's largest class are dealt, with their sets, to parts of the
 group, and a part confirms its own pairs. So every candidate pair is either confirmed, refused or inside one class, and no task holds a whole group. A
 bucket of more than ``MAX_BUCKET`` nodes is dealt in parts by a hash of the node.
@@ -108,23 +108,18 @@ def _within(start: np.ndarray, end: np.ndarray, limit: int, prints: np.ndarray,
 
 
 def first_pairs(bucket: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each node the least and the nearest that it meets in its bucket; and, as pairs of a node with itself, nodes that meet others too."""
+    """Of each node the least that it meets in its bucket, and what else connects all that meet; and, as a pair of a node with itself, one of those among whom other pairs meet too."""
     n = len(bucket)
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
-    degree = np.zeros(n, np.int64)
-    least, close, best = np.full(n, n), np.full(n, n), np.full(n, 1 << 30, np.int32)
-    for i, j, bits in _within(np.arange(n), end, limit, prints, node):
+    degree, least = np.zeros(n, np.int64), np.full(n, n)
+    for i, j, _ in _within(np.arange(n), end, limit, prints, node):
         for a, b in ((i, j), (j, i)):  # neither has a row twice
             degree[a] += 1
             least[a] = np.minimum(least[a], b)
-            nearer = bits < best[a]
-            best[a[nearer]], close[a[nearer]] = bits[nearer], b[nearer]
     met = np.flatnonzero(degree)
-    pairs = np.concatenate((np.stack((met, least[met])), np.stack((met, close[met]))), axis=1)
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-    told = np.bincount(pairs.ravel(), minlength=n)
-    busy = np.flatnonzero(degree > told)
+    pairs = np.unique(np.sort(np.stack((met, least[met])), axis=0), axis=1)
+    busy = np.flatnonzero(degree > np.bincount(pairs.ravel(), minlength=n))
     if len(busy):  # what these pairs leave apart, though some pair meets, gets one pair more
         label = _labels(n, pairs)
         more = [np.zeros((4, 0), np.int64)]
@@ -132,6 +127,7 @@ def first_pairs(bucket: np.ndarray, node: np.ndarray, prints: np.ndarray, limit:
             more.append(np.stack((np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), i, j)))
         found = np.concatenate(more, axis=1)
         pairs = np.concatenate((pairs, found[2:, np.unique(found[:2], axis=1, return_index=True)[1]]), axis=1)
+        busy = np.unique(_labels(n, pairs)[busy])
     return node[np.concatenate((pairs[0], busy))], node[np.concatenate((pairs[1], busy))]
 
 
@@ -148,7 +144,7 @@ def _labels(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _meet(n_words: int, limit: int):
-    """Rows (bucket, part, node, fingerprint), those of a part of a bucket together, to pairs u, v; u = v: a node that meets more."""
+    """Rows (bucket, part, node, fingerprint), those of a part of a bucket together, to pairs u, v; u = v: a node in whose group more pairs meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
