@@ -1,8 +1,8 @@
 """Language identification by the nearest of several centroids per language.
 
 A text is the TF-IDF vector, of length 1, of its hashed letter n-grams (1 to 3, within words). Each language's training vectors are clustered by
-spherical k-means; a text gets the language of the centroid of greatest cosine. A text farther
-from that centroid than nearly all of its training texts were is marked as rejected.
+spherical k-means, in a task of its own; a text gets the language of the centroid of greatest cosine, of equals the first by name. A text farther
+from that centroid than nearly all of the training texts of its cluster were is marked as rejected.
 """
 
 from __future__ import annotations
@@ -13,14 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fits
+from ._shared import Scratch
+
 SIZE = 1 << 13
 CHUNK = 1 << 19
-#: Training rows of a language at most, those of least hash, and languages at most.
-MAX_ROWS, MAX_LANGUAGES = 1500, 500
+#: Training rows of a language at most, those of least hash.
+MAX_ROWS = 1500
 CLUSTERS = 4
+#: MB of centroids that a model may have: a few languages' are broadcast, and a column with more values than fit isn't one of languages.
+MAX_MODEL_MB = 256
 REJECT_QUANTILE = 0.002
 
 
@@ -111,54 +116,87 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def cluster(v: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's unit vectors, and of each the cosine that nearly all vectors of its cluster reach."""
+    c = _k_means(v, clusters)
+    cos = v @ c.T
+    best = cos.argmax(axis=1)
+    return c, np.array([np.quantile(cos[best == j, j], REJECT_QUANTILE) if (best == j).any() else 0.0 for j in range(len(c))])
+
+
+def inverse_frequency(n: int, df: np.ndarray) -> np.ndarray:
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
+def _model(idf: np.ndarray, parts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """parts: each language's name, centroids and least cosines."""
+    if not parts:
+        return Model([], idf, np.zeros((0, SIZE), np.float32), np.zeros(0, int), np.zeros(0))
+    parts = sorted(parts, key=lambda p: p[0])
+    return Model([p[0] for p in parts], idf, np.concatenate([p[1] for p in parts]), np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts]), np.concatenate([p[2] for p in parts]))
+
+
 def learn(texts: list[str], langs: list[str], clusters: int = CLUSTERS) -> Model:
-    languages = sorted(set(langs))
-    counts, df = np.empty((len(texts), SIZE), np.float32), np.zeros(SIZE, np.int64)
-    for i in range(0, len(texts), 200):
-        counts[i : i + 200] = gram_counts(texts[i : i + 200])[0]
-        df += np.count_nonzero(counts[i : i + 200], axis=0)
-    model = Model(languages, (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, int), np.zeros(0))
+    """As fit() does, of texts in memory."""
+    counts = gram_counts(texts)[0]
+    model = _model(inverse_frequency(len(texts), np.count_nonzero(counts, axis=0)), [])
     v, lang = model.vectors(counts), np.array(langs)
-    centroids, owner, least = [], [], []
-    for i, name in enumerate(languages):
-        own = v[lang == name]
-        for c in _k_means(own, clusters):
-            centroids.append(c)
-            owner.append(i)
-    model.centroids, model.language_of = np.stack(centroids) if centroids else model.centroids, np.array(owner, int)
-    if len(v) and centroids:
-        cos = v @ model.centroids.T
-        best = cos.argmax(axis=1)
-        least = [np.quantile(cos[best == j, j], REJECT_QUANTILE) if (best == j).any() else 0.0 for j in range(len(centroids))]
-    model.least = np.array(least)
-    return model
+    return _model(model.idf, [(x, *cluster(v[lang == x], clusters)) for x in sorted(set(langs))])
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (language, hash, text) with the text as its gram counts: slots and numbers."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            counts, _ = gram_counts(part.column(2).to_pylist())
+            row, slot = np.nonzero(counts)
+            ends = np.cumsum([0, *np.bincount(row, minlength=part.num_rows)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (slot.astype(np.int32), counts[row, slot])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["l", "u", "slots", "counts"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learns from at most max_rows texts of each language (the max_languages most frequent), chosen by a hash of the id.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, max_rows: int = MAX_ROWS, clusters: int = CLUSTERS) -> Model:
+    """Learns from at most max_rows texts of each language, those of least hash of id and text; a null id is a value like others, and of equal rows any counts.
 
-    Counting the languages covers all rows; the share of rows to take follows from the counts, and few are taken beyond it.
+    Counting the languages covers all rows; the share of rows to take follows from the counts, and few are taken beyond it. Texts become gram counts in
+    tasks, and each language's are clustered in one task, of at most max_rows; the driver gets the centroids alone, 32 KB each.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), (F.lit(True) if train is None else train).alias("ok"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language")).alias("u"), (F.lit(True) if train is None else train).alias("ok"))
     rows = rows.where("ok and l is not null and t is not null")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
-    if not counts:
-        return learn([], [])
-    unit = F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1 << 30))
-    share = {r["l"]: min(1 << 30, int(1.2 * max_rows / r["count"] * (1 << 30)) + 1) for r in counts}
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("l"))
-    got = rows.where(F.col("l").isin(list(share))).where(unit < limit).select("l", "t", unit.alias("u"), "i").limit(2 * max_rows * len(share)).collect()
-    taken: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["l"], r["u"], r["i"] or 0, r["t"])):
-        own = taken.setdefault(r["l"], [])
-        if len(own) < max_rows:
-            own.append(r["t"])
-    return learn([t for ts in taken.values() for t in ts], [x for x, ts in taken.items() for _ in ts])
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
+    most = MAX_MODEL_MB * 2**20 // (4 * SIZE * clusters)
+    if not fits(sizes, most):
+        raise ValueError(f"{lang_col} has more than {most} values, whose centroids don't fit {MAX_MODEL_MB} MB; raise MAX_MODEL_MB if they are languages")
+    scratch = Scratch(spark, "language")
+    wide = rows.join(F.broadcast(sizes), "l").where(F.pmod("u", F.lit(1 << 30)) < 1.2 * max_rows / F.col("n") * (1 << 30) + 1)  # a row for each language, of a number that fits() has checked
+    order = Window.partitionBy("l").orderBy(F.pmod("u", F.lit(1 << 30)), "u")
+    grams = scratch.table(wide.select("l", "u", "t").mapInArrow(_sparse, "l string, u long, slots array<int>, counts array<float>").withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_rows))
+    n = grams.count()
+    df = np.zeros(SIZE, np.int64)
+    for r in grams.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():  # SIZE rows at most
+        df[r["slot"]] = r["count"]
+    model = _model(inverse_frequency(n, df), [])
+
+    def learned(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("i")
+        counts = np.zeros((group.num_rows, SIZE), np.float32)
+        lists = [group.column(x).combine_chunks() for x in ("slots", "counts")]
+        counts[np.repeat(np.arange(group.num_rows), np.diff(lists[0].offsets.to_numpy())), lists[0].flatten().to_numpy()] = lists[1].flatten().to_numpy()
+        c, least = cluster(model.vectors(counts), clusters)
+        return pa.table({"l": [group.column("l")[0].as_py()] * len(c), "j": pa.array(range(len(c)), pa.int32()), "c": [x.astype(np.float32).tobytes() for x in c], "least": least.astype(float)})
+
+    found: dict[str, list] = {}
+    for r in sorted(grams.groupBy("l").applyInArrow(learned, "l string, j int, c binary, least double").collect(), key=lambda r: (r["l"], r["j"])):
+        found.setdefault(r["l"], []).append((np.frombuffer(r["c"], np.float32), r["least"]))
+    scratch.drop(grams)
+    return _model(model.idf, [(x, np.stack([c for c, _ in own]), np.array([q for _, q in own])) for x, own in found.items()])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred (und without letters), score (cosine, 0 to 1), rejected. Repeated rows are predicted each."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of a size fixed by MAX_LANGUAGES and CLUSTERS
+    """doc_id, lang_pred (und without letters, or if no language was learned), score (cosine, 0 to 1), rejected. Repeated rows are predicted each; whole texts are counted, in parts."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_MODEL_MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
