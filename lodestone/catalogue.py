@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import prompts
 from .functions import parsing as P
 from .functions import text as T
-from .operators import chunking, datasets, evaluation, facts, judging, matching, mining, retrieval, tools
+from .operators import chunking, datasets, evaluation, facts, judging, matching, mining, retrieval, tasks, tools
 from .providers import OverlapReranker
 from .session import dense_index, table
 from .sources import corpora, records
@@ -134,12 +135,15 @@ def chunk_lookup_by_source_index(spark: SparkSession, d: str) -> DataFrame:
     return records.chunk_at(_chunks(spark, d), 100)
 
 
-@query("""select i.position, i.doc_id, d.doc_id is not null as found, '<document id=' || i.doc_id::varchar || '>' || coalesce(replace(replace(replace(d.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'document not found') || '</document>' as xml
-from (values (0, 3::bigint), (1, 5::bigint), (2, -7::bigint)) i(position, doc_id) left join documents d using (doc_id)""")
+ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""with a as (select doc_id as request_id, unnest([doc_id, -doc_id - 1, doc_id // 2]) as id, unnest([0, 1, 2]) as position from labels),
+r as (select request_id, position, '<document id=' || id::varchar || '>' || chr(10) || {ESC.format("case when d.doc_id is null then 'Error: Document with id ''' || id::varchar || ''' not found in corpus.' else coalesce(d.text, '') end")} || chr(10) || '</document>' as x from a left join documents d on d.doc_id = id)
+select request_id, '<documents>' || chr(10) || string_agg(x, chr(10) order by position) || chr(10) || '</documents>' as xml from r group by request_id""")
 def document_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.sql("select array(3L, 5L, -7L, 9L) as ids")
-    ids = tools.requests(asked, "ids", tools.MAX_READS).select("position", F.col("entry").alias("doc_id"))
-    return tools.read(ids, table(spark, d, "documents"))
+    asked = table(spark, d, "labels").select(F.col("doc_id").alias("request_id"), F.expr("array(doc_id, -doc_id - 1, doc_id div 2, 9L)").alias("ids"))
+    return tools.read(asked, table(spark, d, "documents"))
 
 
 @query(f"with {CHUNKS} select (select count(*) from chunks) as chunk_count, (select count(*) from documents) as document_count, (select max(len(embedding)) from embeddings)::int as vector_dimensions")
@@ -161,6 +165,9 @@ s as (select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.
 bm25 as (select item_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10)"""
 
 
+BM25_50 = BM25.replace("where rank <= 10", "where rank <= 50")
+
+
 def _bm25(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), k)
 
@@ -194,23 +201,26 @@ def hybrid_rrf_top10(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse([_bm25(spark, d), dense], "item_id", "doc_id", 10)
 
 
-@query(f"""with {BM25}, p as (select b.item_id, b.doc_id, list_distinct({TOKENS.format('q.text')}) as q, list_distinct({TOKENS.format('d.text')}) as x from bm25 b join benchmark q using (item_id) join documents d using (doc_id)),
+@query(f"""with {BM25_50}, p as (select b.item_id, b.doc_id, list_distinct({TOKENS.format('q.text')}) as q, list_distinct({TOKENS.format('d.text')}) as x from bm25 b join benchmark q using (item_id) join documents d using (doc_id)),
 r as (select item_id, doc_id, round(5 * len(list_intersect(q, x))::double / greatest(1, len(q)), 6) as score from p)
 select item_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score >= 3) where rank <= 5""")
 def rerank_threshold(spark: SparkSession, d: str) -> DataFrame:
-    found = _bm25(spark, d)
+    found = _bm25(spark, d, 50)
     q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     full = found.join(q, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return retrieval.rerank(full, OverlapReranker(), "item_id", "q", "doc_id", "text", 5, 10, 3.0).select("item_id", "doc_id", "score", "rank")
+    return retrieval.rerank(full, OverlapReranker(), "item_id", "q", "doc_id", "text", 5, 50, 3.0).select("item_id", "doc_id", "score", "rank")
 
 
-@query(f"""with {BM25} select item_id, '<search query="' || replace(replace(replace(replace(replace(q.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '&#10;'), '"', '&quot;') || '">' || chr(10) || string_agg('  <result rank="' || rank::varchar || '" document_id="' || doc_id::varchar || '">' || chr(10) || '    <title>' || source || '</title>' || chr(10) || '    <content>' || replace(replace(replace(left(d.text, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</content>' || chr(10) || '  </result>', chr(10) order by rank) || chr(10) || '</search>' as xml
-from bm25 join benchmark q using (item_id) join documents d using (doc_id) where item_id < 3 group by item_id, q.text""")
+@query(f"""with {BM25}, r as (select item_id, string_agg('<result>' || chr(10) || '<id>' || doc_id::varchar || '</id>' || chr(10) || '<title>' || {ESC.format("coalesce(source, '')")} || '</title>' || chr(10) || '<snippet>' || {ESC.format("coalesce(d.text, '')")} || '</snippet>' || chr(10) || '</result>', chr(10) order by rank) as x from bm25 join documents d using (doc_id) group by item_id),
+answers as (select item_id, '<query value="' || {ESC.format('text')} || '">' || chr(10) || coalesce(x || chr(10), '') || '</query>' as x from benchmark left join r using (item_id))
+select item_id // 3 as call, '<search_results>' || chr(10) || string_agg(x, chr(10) order by item_id) || chr(10) || '</search_results>' as xml from answers group by item_id // 3""")
 def search_tool_rows(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "benchmark").orderBy("item_id").limit(tools.MAX_QUERIES)
-    found = _bm25(spark, d, tools.SEARCH_K).join(first.select("item_id", F.col("text").alias("q")), "item_id").join(table(spark, d, "documents").select("doc_id", "source", F.left("text", F.lit(40)).alias("content")), "doc_id")
-    rows = found.groupBy("item_id", "q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("document_id"), F.col("source").alias("title"), "content"))).alias("r"))
-    return rows.select("item_id", tools.render_search(F.col("q"), F.col("r")).alias("xml"))
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    found = _bm25(spark, d, tools.SEARCH_K).join(table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    rows = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("document_id"), F.col("source").alias("title"), "content"))).alias("results"))
+    full = asked.join(rows, "item_id", "left").withColumn("results", F.coalesce("results", F.expr("array()").cast(rows.schema["results"].dataType)))
+    calls = full.groupBy(F.expr("item_id div 3").alias("call")).agg(F.array_sort(F.collect_list(F.struct("item_id", "query", "results"))).alias("found"))
+    return calls.select("call", tools.render_search(F.col("found")).alias("xml"))
 
 
 def _scan_sql(count: str, at: str) -> str:
@@ -229,6 +239,14 @@ def text_scan_fixed(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d, "Tion")
 
 
+FIXED_SCAN = _scan_sql("(length(lower(content)) - length(replace(lower(content), 'tion', '')))::bigint // 4", "strpos(lower(content), 'tion') - 1")
+
+
+@query(f"""select string_agg('<match>' || chr(10) || '<id>' || {ESC.format('document_id')} || '</id>' || chr(10) || '<title>' || {ESC.format("coalesce(title, '')")} || '</title>' || chr(10) || '<snippet>' || {ESC.format('snippet')} || '</snippet>' || chr(10) || '</match>', chr(10) order by total desc, document_id) as xml from ({FIXED_SCAN})""")
+def text_scan_markup(spark: SparkSession, d: str) -> DataFrame:
+    return tools.render_scan(_scan(spark, d, "Tion"))
+
+
 @query(_scan_sql("(length(content) - length(replace(content, 'The', '')))::bigint // 3", "strpos(content, 'The') - 1"))
 def text_scan_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d, "The", case_sensitive=True)
@@ -420,9 +438,9 @@ def _positives(spark: SparkSession, d: str) -> DataFrame:
     return _qrels(spark, d).groupBy("item_id").agg(F.min("doc_id").alias("positive"))
 
 
-@query(f"with {BM25}, {QRELS}, {POSITIVE} select item_id, positive, rank as positive_rank, case when rank <= 3 then 'mined' else 'filtered' end as status from pos left join bm25 on pos.item_id = bm25.item_id and doc_id = positive".replace("select item_id, positive, rank", "select pos.item_id, positive, rank"))
+@query(f"with {BM25_50}, {QRELS}, {POSITIVE} select item_id, positive, rank as positive_rank, case when rank <= 50 then 'mined' else 'filtered' end as status from pos left join bm25 on pos.item_id = bm25.item_id and doc_id = positive".replace("select item_id, positive, rank", "select pos.item_id, positive, rank"))
 def round_trip_filter(spark: SparkSession, d: str) -> DataFrame:
-    return mining.round_trip(_positives(spark, d), _bm25(spark, d), "item_id", "positive", "doc_id", 3)
+    return mining.round_trip(_positives(spark, d), _bm25(spark, d, 50), "item_id", "positive", "doc_id", 50)
 
 
 @query(f"with {BM25}, {QRELS}, {POSITIVE} select * from (select item_id, doc_id, score, rank, positive, row_number() over (partition by item_id order by rank)::int as prompt_rank from bm25 join pos using (item_id) where doc_id <> positive) where prompt_rank <= 5")
@@ -542,6 +560,57 @@ def linked_entities_grouped(spark: SparkSession, d: str) -> DataFrame:
     return matching.linked(found, names, ["source", "group_index"], "source")
 
 
+# sources, tasks and prompts
+
+
+@query("select doc_id, source from documents where source in ('src1', 'src3', 'src17')")
+def allow_list_sources(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.allow_list(table(spark, d, "documents"), "source", ["src1", "src3", "src17"]).select("doc_id", "source")
+
+
+@query("select c_custkey, c_name from customer order by c_custkey limit 100")
+def persona_rows(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.personas(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 100)
+
+
+@query("select doc_id as id, case when doc_id % 3 = 0 then 'own' else doc_id::varchar end as document_id, case when doc_id % 2 = 0 then doc_id / 8 when doc_id % 5 = 0 then n_chars::double else 0 end as score, coalesce(text, '') as content from documents")
+def result_projection(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").selectExpr("doc_id id", "source title", "text content", "case when doc_id % 3 = 0 then map('document_id', 'own') end metadata", "doc_id document_id", "case when doc_id % 2 = 0 then doc_id / 8 end _relevance_score", "case when doc_id % 5 = 0 then double(n_chars) end `$dist`")
+    return retrieval.project_results(rows).select("id", F.col("metadata")["document_id"].alias("document_id"), "score", "content")
+
+
+@query("select (row_number() over (order by doc_id) - 1)::bigint as idx, text as prompt, source as table_name, [doc_id] as doc_ids, lang as complexity from documents order by doc_id limit 100")
+def task_projection(spark: SparkSession, d: str) -> DataFrame:
+    data = table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.lit("r").alias("rubric"), F.col("source").alias("data_source"), F.array("doc_id").alias("doc_ids"), F.col("lang").alias("question_type"))
+    return tasks.project(data, "doc_id", 100).select("idx", "prompt", "table_name", "doc_ids", "complexity")
+
+
+QUERY_PROMPT = "'" + prompts.TEMPLATES["query"].replace("'", "''").replace("{text}", "' || text || '") + "' || chr(10) || chr(10) || 'About these documents: Invented prose.'"
+
+
+@query(f"select doc_id, {QUERY_PROMPT.replace(chr(10), "' || chr(10) || '")} as prompt from documents")
+def query_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", prompts.described(prompts.render(prompts.TEMPLATES["query"], text=F.col("text")), " Invented prose. ").alias("prompt"))
+
+
+@query("""select doc_id, case when doc_id % 7 = 0 then 6 when doc_id % 3 = 0 then 2 when doc_id % 5 = 0 then 3 else 1 end::int as attempts, doc_id % 7 <> 0 as accepted, case when doc_id % 7 <> 0 then (quality + 1) / 2.0::double end as score,
+case when doc_id % 7 = 0 then 6 when doc_id % 3 = 0 then 1 when doc_id % 5 = 0 then 2 else 0 end::int as refused from labels""")
+def judge_with_retries(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in judge that answers some rows in no or another form, or about another criterion, at first or always."""
+    calls = table(spark, d, "labels").select("doc_id", "quality", F.array(F.lit("first"), F.lit("second")).alias("criteria"))
+
+    def ask(left: DataFrame, k: int) -> DataFrame:
+        verdict = F.when(F.col("quality") > 0, "yes").otherwise(" No ")
+        one = "<criterion><name>{0}</name><reason>1 &lt; 2</reason><verdict>"
+        fine = F.concat(F.lit("So: <criteria>" + one.format("first")), F.lit("yes"), F.lit("</verdict></criterion>" + one.format("second")), verdict, F.lit("</verdict></criterion></criteria>"))
+        bad = F.expr(f"case when doc_id % 7 = 0 then 'none' when doc_id % 3 = 0 and {k} < 1 then '<criteria></criteria>' when doc_id % 5 = 0 and doc_id % 3 <> 0 and {k} < 2 then 'other' end")
+        return left.withColumn("response", F.when(bad == "other", F.replace(fine, F.lit("first"), F.lit("third"))).otherwise(F.coalesce(bad, fine))).withColumn("v", P.verdicts(F.col("response")))
+
+    got = tasks.attempts(calls, ask, tasks.names_differ(F.col("v"), F.col("criteria")))
+    score = F.aggregate("v.verdicts", F.lit(0.0), lambda a, v: a + P.verdict_value(v["verdict"]), lambda a: a / 2)
+    return got.select("doc_id", "attempts", "accepted", F.when(F.col("accepted"), score).alias("score"), F.size("errors").alias("refused"))
+
+
 # model responses
 
 VERDICT_TEXTS = [

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import string
 import unicodedata
 from collections.abc import Callable
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -181,17 +180,25 @@ def normalize_text(x: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", x).lower()).split())
 
 
-def bucket_of(name: str) -> str:
-    """The folder of a name: its first letter or digit, without accent, or an underscore."""
-    first = unicodedata.normalize("NFKD", name.strip())[:1].upper()
-    return first if first.isdigit() or "A" <= first <= "Z" else "_"
+def _initials() -> tuple[str, str]:
+    """BMP characters whose compatibility form starts with a letter A to Z, in either case, or a digit; and that start."""
+    starts = {chr(c): unicodedata.normalize("NFKD", chr(c))[0].upper() for c in range(0x30, 0x10000) if not 0xD800 <= c < 0xE000}
+    kept = {c: b for c, b in starts.items() if len(b) == 1 and (b in string.ascii_uppercase or b.isdigit())}
+    return "".join(kept), "".join(kept.values())
 
 
-def file_name(name: str) -> str:
-    """Percent-encoded; long ones are cut and get a digest."""
-    out = quote(name.strip(), safe=" -_.()") or "entity"
-    return f"{out[:160]}--{hashlib.sha256(name.encode()).hexdigest()[:12]}.md" if len(out) > 180 else f"{out}.md"
+#: The longest file name, what is left of a longer one, and the length of its digest.
+MAX_NAME, CUT_NAME, DIGEST = 180, 160, 12
 
 
 def workspace_path(x: Column) -> Column:
-    return _mapped(lambda n: f"facts/{bucket_of(n)}/{file_name(n)}", x)
+    """facts/<initial>/<name>.md: the initial without accent, or an underscore; the name percent-encoded, a long one cut and given a digest."""
+    name = strip(x)
+    first, (known, starts) = F.substring(name, 1, 1), _initials()
+    folder = F.when((first != "") & (F.instr(F.lit(known), first) > 0), F.translate(first, known, starts)).otherwise(F.when(first == "ß", "SS").otherwise("_"))
+    code = F.url_encode(name)
+    for was, now in (("+", " "), ("%28", "("), ("%29", ")"), ("%7E", "~"), ("*", "%2A")):  # which forms write in another way than paths
+        code = F.replace(code, F.lit(was), F.lit(now))
+    code = F.when(code == "", F.lit("entity")).otherwise(code)
+    short = F.concat(F.left(code, F.lit(CUT_NAME)), F.lit("--"), F.left(F.sha2(F.encode(x, "UTF-8"), 256), F.lit(DIGEST)))
+    return F.concat(F.lit("facts/"), folder, F.lit("/"), F.when(F.length(code) > MAX_NAME, short).otherwise(code), F.lit(".md"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import version_parts
+from ..session import dense_index
 
 
 def sample_numbers(rows: int, n: int, seed: int, rng: random.Random | None = None) -> tuple[list[int], random.Random]:
@@ -18,10 +19,10 @@ def sample_numbers(rows: int, n: int, seed: int, rng: random.Random | None = Non
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """Rows whose dense number (id_col, from 0) was drawn, with their place in the draw."""
+    """Rows whose number in the order of the integer id_col was drawn, with their place in the draw. Ids may have gaps."""
     numbers, _ = sample_numbers(df.count(), n, seed)
     drawn = df.sparkSession.createDataFrame(list(enumerate(numbers)), "draw long, number long")
-    return df.join(drawn, F.col(id_col) == F.col("number")).drop("number")
+    return dense_index(df, id_col, [], "number").join(drawn, "number").drop("number")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: Column, test_share: float = 0.1, seed: int = 42) -> DataFrame:

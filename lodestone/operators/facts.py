@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.text import collapse_key, single_line, strip
-from ..session import top_k
+from ..session import dense_index, top_k
 from .matching import required
 
 
@@ -196,10 +196,11 @@ def entity_rounds(corpus: DataFrame, extract, n: int, seed: int, batch: int = 30
     """Rounds of seeded samples passed to ``extract`` until the caller has enough, after max(30, 2 n) rounds, or when 5 rounds in a row yield an empty frame."""
     from .datasets import sample_numbers
 
+    numbered = dense_index(corpus, id_col, [], "_number")  # ids may have gaps
     rows, idle, rng = corpus.count(), 0, None
     for k in range(max(30, 2 * n)):
         numbers, rng = sample_numbers(rows, min(rows, batch), seed, rng)
-        found = extract(corpus.where(F.col(id_col).isin(numbers)), k)
+        found = extract(numbered.where(F.col("_number").isin(numbers)).drop("_number"), k)
         idle = idle + 1 if found.isEmpty() else 0
         yield found
         if idle == 5:

@@ -125,6 +125,20 @@ def fetch_size(mode: str, k: int, top_rerank: int, most: int = 10_000) -> int:
     return min(most, max(k, top_rerank) if mode == "hybrid_reranked" else k)
 
 
+def project_results(rows: DataFrame) -> DataFrame:
+    """id, title, content, metadata, score of a store's rows: a reranker's score before a distance, before 0; metadata names the document unless it does already."""
+    meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    own = F.when(F.col("document_id").isNotNull() & ~F.map_contains_key(meta, "document_id"), F.create_map(F.lit("document_id"), F.col("document_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    score = F.coalesce("_relevance_score", "`$dist`", F.lit(0.0)).cast("double")
+    return rows.select("id", F.coalesce(F.col("title").cast("string"), F.lit("")).alias("title"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"), F.map_concat(meta, own).alias("metadata"), score.alias("score"))
+
+
+def check_dimensions(vectors: DataFrame, vector_col: str, expected: int) -> DataFrame:
+    """The rows, with an error at the first whose vector hasn't the catalogued dimension."""
+    n = F.size(vector_col)
+    return vectors.withColumn(vector_col, F.when(n == expected, F.col(vector_col)).otherwise(F.raise_error(F.concat(F.lit("vector dimension "), n.cast("string"), F.lit(f" isn't the catalogued {expected}")))))
+
+
 MODES = ("dense", "bm25", "hybrid", "hybrid_reranked")
 
 

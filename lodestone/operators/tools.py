@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_literal, find_literal, snippet, xml_attribute, xml_escape
+from ..functions.text import count_literal, find_literal, snippet, xml_escape
 
 #: Fixed limits of the tools.
 MAX_QUERIES, MAX_READS, SEARCH_K, SCAN_K, SNIPPET = 3, 3, 10, 25, 200
@@ -26,7 +26,7 @@ def text_scan(chunks: DataFrame, pattern: str, regex: bool = False, case_sensiti
     """document_id, title, total, snippet, rank for chunks (source_index, document_id, title, content) with matches.
 
     A document's snippet comes from its chunk with most matches, of equals the first. Ranks go by total, then by the id as text.
-    Matches that cross chunks aren't found; a blank pattern finds nothing.
+    Matches that cross chunks aren't found; an empty pattern finds nothing.
     """
     text = F.col("content")
     if regex:
@@ -35,7 +35,7 @@ def text_scan(chunks: DataFrame, pattern: str, regex: bool = False, case_sensiti
         count, at = F.regexp_count(text, p), F.regexp_instr(text, p) - 1
     else:
         count, at = count_literal(text, pattern, case_sensitive), find_literal(text, pattern, case_sensitive)
-    found = chunks.where(F.lit(bool(pattern.strip()))).withColumn("n", count).where("n > 0").withColumn("at", at)
+    found = chunks.where(F.lit(bool(pattern))).withColumn("n", count).where("n > 0").withColumn("at", at)
     key = F.coalesce(F.col("document_id").cast("string"), F.col("title"))
     best = F.max_by(F.struct("content", "at"), F.struct("n", (-F.col("source_index")).alias("i")))
     docs = found.groupBy(key.alias("document_id")).agg(F.sum("n").alias("total"), F.min_by("title", "source_index").alias("title"), best.alias("b"))
@@ -48,21 +48,42 @@ def requests(df: DataFrame, array_col: str, most: int) -> DataFrame:
     return df.select("*", F.posexplode(F.slice(array_col, 1, most)).alias("position", "entry"))
 
 
-def render_search(query: Column, results: Column) -> Column:
-    """A query's results as XML. results: an array of structs (rank, document_id, title, content), in order."""
-    rows = F.transform(results, lambda r: F.concat(F.lit("  <result rank="), xml_attribute(r["rank"].cast("string")), F.lit(" document_id="), xml_attribute(r["document_id"].cast("string")), F.lit(">\n    <title>"), xml_escape(F.coalesce(r["title"], F.lit(""))), F.lit("</title>\n    <content>"), xml_escape(r["content"]), F.lit("</content>\n  </result>")))
-    return F.concat(F.lit("<search query="), xml_attribute(query), F.lit(">\n"), F.array_join(rows, "\n"), F.lit("\n</search>"))
+def _lines(*parts: Column | str) -> Column:
+    return F.array_join(F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]), "\n")
 
 
-def read(ids: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """position, doc_id, found, xml for a table (position, doc_id) of integer ids: the full text, or that there is none. The id isn't quoted."""
-    got = ids.join(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.lit(True).alias("_f")), "doc_id", "left")
-    body = F.coalesce(xml_escape(F.col("_t")), F.lit("document not found"))
-    return got.select("position", "doc_id", F.coalesce("_f", F.lit(False)).alias("found"), F.concat(F.lit("<document id="), F.col("doc_id").cast("string"), F.lit(">"), body, F.lit("</document>")).alias("xml"))
+def _element(tag: str, x: Column) -> Column:
+    return F.concat(F.lit(f"<{tag}>"), xml_escape(F.coalesce(x.cast("string"), F.lit(""))), F.lit(f"</{tag}>"))
 
 
-def render_scan(rows: DataFrame) -> str:
-    """The scan's rows, at most its limit, as XML; empty if nothing was found."""
-    got = rows.collect()
-    esc = lambda s: (s or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    return "\n".join(f'<match document_id="{esc(r["document_id"])}" count="{r["total"]}"><title>{esc(r["title"])}</title><snippet>{esc(r["snippet"])}</snippet></match>' for r in got)
+def _element_lines(tag: str, r: Column, snippet_field: str) -> Column:
+    return _lines(f"<{tag}>", _element("id", r["document_id"]), _element("title", r["title"]), _element("snippet", r[snippet_field]), f"</{tag}>")
+
+
+def render_search(found: Column) -> Column:
+    """The answer to a call. found: an array of structs (query, results), of which the first MAX_QUERIES count; results: structs (document_id, title, content), in order."""
+
+    def one(q: Column) -> Column:
+        head = F.array(F.concat(F.lit('<query value="'), xml_escape(q["query"]), F.lit('">')))
+        return F.array_join(F.concat(head, F.transform(q["results"], lambda r: _element_lines("result", r, "content")), F.array(F.lit("</query>"))), "\n")
+
+    return F.array_join(F.concat(F.array(F.lit("<search_results>")), F.transform(F.slice(found, 1, MAX_QUERIES), one), F.array(F.lit("</search_results>"))), "\n")
+
+
+def read(asked: DataFrame, documents: DataFrame, key: str = "request_id", ids: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, xml for each request: the full texts of its first MAX_READS ids, in their order, or that there is none. Ids are integers and aren't quoted."""
+    wanted = requests(asked.select(key, ids), ids, MAX_READS).select(key, "position", F.col("entry").alias("_id"))
+    got = wanted.join(documents.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t")), "_id", "left")
+    name = F.col("_id").cast("string")
+    body = F.coalesce(F.col("_t"), F.concat(F.lit("Error: Document with id '"), name, F.lit("' not found in corpus.")))
+    row = _lines(F.concat(F.lit("<document id="), name, F.lit(">")), xml_escape(body), "</document>")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", row.alias("x")))), lambda r: r["x"])
+    found = got.groupBy(key).agg(rows.alias("_rows"))
+    return asked.select(key).join(found, key, "left").select(key, F.array_join(F.concat(F.array(F.lit("<documents>")), F.coalesce("_rows", F.array().cast("array<string>")), F.array(F.lit("</documents>"))), "\n").alias("xml"))
+
+
+def render_scan(rows: DataFrame) -> DataFrame:
+    """xml: the scan's rows, at most its limit, in one row; empty if nothing was found."""
+    order = F.struct((-F.col("total")).alias("a"), "document_id", "title", "snippet")
+    every = F.transform(F.array_sort(F.collect_list(order)), lambda r: _element_lines("match", r, "snippet"))
+    return rows.agg(F.array_join(every, "\n").alias("xml"))

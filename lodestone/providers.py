@@ -69,8 +69,9 @@ def encode(df: DataFrame, text_col: str, encoder: Encoder, out: str = "vector",
     return df.withColumn(out, pandas_udf(run, "array<float>")(F.col(text_col)))
 
 
-def generate(df: DataFrame, prompt_col: str, generator: Generator, out: str = "response") -> DataFrame:
-    """Adds the response and an error: one row's failure doesn't stop the others."""
+def generate(df: DataFrame, prompt_col: str, generator: Generator, out: str = "response", at_once: int | None = None) -> DataFrame:
+    """Adds the response and an error: one row's failure doesn't stop the others. ``at_once`` limits the partitions, and so the calls at a time."""
+    df = df if at_once is None else df.coalesce(at_once)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:

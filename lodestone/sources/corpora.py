@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,26 @@ REGISTRY: dict[str, Corpus] = {
 }
 
 
+def allow_list(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """The rows whose column is one of the values."""
+    return df.where(F.col(column).isin(allowed))
+
+
+def developer_docs(technologies: list[str]) -> Corpus:
+    """The developer_docs corpus of these technologies only, each as its rows name it."""
+    every = REGISTRY["developer_docs"]
+    return replace(every, where=lambda df: every.where(allow_list(df, "language", technologies)))
+
+
+def personas(df: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """All rows, or the first ``limit`` by id."""
+    if limit is None:
+        return df
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    return df.orderBy(id_col).limit(limit)
+
+
 def register(name: str, corpus: Corpus) -> None:
     key = name.translate(str.maketrans("-/.", "___"))
     if key in REGISTRY:

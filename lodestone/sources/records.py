@@ -89,14 +89,15 @@ def write_json(spark: SparkSession, path: str, value: dict, overwrite: bool = Fa
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     fs = to.getFileSystem(conf)
-    if fs.exists(to):
-        if not overwrite:
-            raise FileExistsError(path)
-        fs.delete(to, False)
+    if fs.exists(to) and not overwrite:
+        raise FileExistsError(path)
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.rename(part, to)
+    how = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if overwrite else how.NONE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(part, to, options)
 
 
 def write_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:

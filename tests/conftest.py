@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
 
     s = session(4, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()
 

@@ -91,7 +91,7 @@ def test_scan_rules(spark):
     assert [(r["document_id"], r["total"], r["title"]) for r in got] == [("9", 4, "A"), ("10", 2, "B")] and got[0]["snippet"] == "x x"
     tied = tools.text_scan(c.where("source_index < 2"), "X").collect()
     assert [r["document_id"] for r in tied] == ["10", "9"]
-    assert tools.text_scan(c, " ").count() == 0 and tools.render_scan(tools.text_scan(c, "zzz")) == ""
+    assert tools.text_scan(c, "").count() == 0 and tools.render_scan(tools.text_scan(c, "zzz")).first()["xml"] == ""
 
 
 def test_matching(spark):
@@ -251,3 +251,35 @@ def test_stream_feeds_an_index(spark, tmp_path):
     rows = spark.readStream.schema("id long, title string, text string").parquet(src).select("id", F.when(F.col("id") == 1, "ready").otherwise("failed").alias("status"))
     streaming.append_records(rows, str(tmp_path / "out")).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out/route=queries")).count() == 1
+
+
+def test_task_rows_and_attempts(spark, tmp_path):
+    from lodestone import prompts
+    from lodestone.operators import retrieval, tasks
+    from lodestone.sources import corpora
+
+    (tmp_path / "a.jsonl").write_text('{"question": "q"}\n')
+    hub = lambda name, split: spark.createDataFrame([(name, split)], "name string, split string")
+    assert tasks.rows(spark, str(tmp_path / "a.jsonl"), "train", hub).first()["question"] == "q"
+    assert tuple(tasks.rows(spark, "org/data", "train", hub).first()) == ("org/data", "train")
+    with pytest.raises(FileNotFoundError):
+        tasks.rows(spark, str(tmp_path / "b.jsonl"), "train", hub)
+    with pytest.raises(ValueError):
+        corpora.personas(hub("a", "b"), "name", 0)
+    with pytest.raises(ValueError):
+        prompts.render("{a} {b}", a=F.lit("x"))
+    docs = spark.createDataFrame([("go", "1"), ("c~2", "2"), ("c~3", "3"), ("x", "4")], "language string, text string")
+    assert sorted(r["text"] for r in corpora.developer_docs(["go", "c~3"]).where(docs).collect()) == ["1", "3"]
+    errors = spark.createDataFrame([(["a", "b", "c", "d"],), ([],)], "e array<string>").select(prompts.with_errors(F.lit("p"), F.col("e")).alias("p")).collect()
+    assert [r["p"] for r in errors] == ["p\n\nEarlier answers were refused:\n- b\n- c\n- d", "p"]
+    vectors = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
+    assert retrieval.check_dimensions(vectors, "v", 2).count() == 1
+    with pytest.raises(Exception, match="isn't the catalogued 3"):
+        retrieval.check_dimensions(vectors, "v", 3).collect()
+
+
+def test_samples_of_gapped_ids(spark):
+    from lodestone.operators import datasets
+
+    rows = spark.createDataFrame([(10 * i + 3,) for i in range(40)], "doc_id long")
+    assert datasets.seeded_sample(rows, "doc_id", 15, 3).count() == 15 and datasets.seeded_sample(rows, "doc_id", 99, 3).count() == 40

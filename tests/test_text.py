@@ -58,7 +58,9 @@ def test_snippets_and_counts(spark):
 def test_python_functions(spark):
     assert one(spark, T.normalize(F.col("x")), x="Ａ-b,  Ç") == "a b ç"
     assert one(spark, T.workspace_path(F.col("x")), x="Émile/Zola") == "facts/E/%C3%89mile%2FZola.md"
-    assert T.bucket_of(" 3d") == "3" and T.bucket_of("-") == "_" and len(T.file_name("é" * 100)) == 160 + 2 + 12 + 3
+    path = lambda x: one(spark, T.workspace_path(F.col("x")), x=x).split("/")
+    assert path(" 3d")[1] == "3" and path("-")[1] == "_" and len(path("é" * 100)[2]) == 160 + 2 + 12 + 3
+    assert path("straße (a~b) *+%")[2] == "stra%C3%9Fe (a~b) %2A%2B%25.md" and path("ßx")[1] == "SS" and path("  ")[1:] == ["_", "entity.md"]
 
 
 def test_versions(spark):
@@ -79,11 +81,17 @@ def test_fact_parsing(spark):
     assert one(spark, P.hard_negative_ids(F.col("x")), x='<hard_negatives><chunk id="7"/><chunk id="x"/></hard_negatives>') == ["7", "x"]
 
 
-def test_verdicts_and_rubrics():
+def test_verdicts_and_rubrics(spark):
     from lodestone.catalogue import RUBRIC_TEXT, VERDICT_TEXTS
 
-    got = [P.parse_verdicts(x) for x in VERDICT_TEXTS]
+    got = [one(spark, P.verdicts(F.col("x")), x=x) for x in VERDICT_TEXTS]
     assert [len(g["verdicts"]) for g in got] == [1, 1, 1, 0] and got[2]["verdicts"][0]["name"] == "b" and got[1]["verdicts"][0]["reason"] == "1 < 2 & 3" and got[3]["error"]
+    assert got[2]["verdicts"][0]["reason"] == "q"
+    row = "<criterion><name>{0}</name><reason>{1}</reason><verdict>no</verdict></criterion>"
+    for inside, want in ((row.format("a", "x &lt; <i>y <b>z</b></i>"), ["x < y z"]), (row.format("a", "1 < 2 &lt;"), ["1 < 2 &lt;"]), (row.format("a", "r") + "<criterion><name>b</name></criterion>", None), ("", None)):
+        v = one(spark, P.verdicts(F.col("x")), x=f"<criteria n='1'>{inside}</criteria >")
+        assert [r["reason"] for r in v["verdicts"]] == (want or []) and (v["error"] is None) == bool(want)
+    assert one(spark, P.verdicts(F.col("x")), x=None)["error"]
     assert P.parse_rubric(RUBRIC_TEXT)["doc_ids"] == [1, 2, 3] and P.parse_rubric(RUBRIC_TEXT)["rubric"][1] == {"criterion": "Second", "doc_ids": [3]}
     for bad in (RUBRIC_TEXT.replace("2. ", "3. "), RUBRIC_TEXT + "x", RUBRIC_TEXT.replace("Docs: 3", "Docs: x"), RUBRIC_TEXT.replace("## Docs\n", ""), None, "# Question rubric"):
         assert P.parse_rubric(bad)["error"] and P.parse_rubric(bad)["entity"] is None
