@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 from ..session import table as _read
 
 __all__ = ["NULL_ID", "Scratch", "row_key", "shared_dir", "table"]
@@ -31,18 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _read(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all run in this process, else an error."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation. The folder goes when the application ends."""
 

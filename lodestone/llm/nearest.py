@@ -2,7 +2,8 @@
 
 Inner products become distances: each vector gets one more component, so that all have the greatest norm. Gaussian (2-stable)
 projections to a few dimensions are split by a kd-tree; the top of the tree, fitted on a bounded sample, deals all
-rows to cells, and each cell has a tree of its own. A query visits leaves in the order of their
+rows to cells, and each cell has a tree of its own. A cell of more rows than one task should hold is dealt in parts by a hash of the id; each
+part has a tree, and a query that goes to the cell goes to all its parts. A query visits leaves in the order of their
 projected distance, verifies their vectors on all dimensions, and stops when the chi-square test says that a vector nearer than its
 k-th would have been projected nearer with probability ``confidence``. It searches its own cell first; the distance found there decides which other
 cells it goes to.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 
 DIMENSIONS = 12
-#: Rows of the sample that the cells are fitted on at most, and rows of a cell on average.
-SAMPLE, CELL = 20_000, 4_000
+#: Rows of the sample that the cells are fitted on at most, rows of a cell on average if the sample allows so many cells, and rows of a part of a larger cell.
+SAMPLE, CELL, MAX_CELL = 20_000, 4_000, 16_000
 LEAF = 64
 HITS = "query_id long, vec_id long, score double"
 
@@ -233,22 +234,28 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id
     # the least box of each cell
     low = [F.min(F.col("p")[j]) for j in range(dimensions)]
     high = [F.max(F.col("p")[j]) for j in range(dimensions)]
-    box = dealt.where("indexed").groupBy("cell").agg(F.array(*low).alias("low"), F.array(*high).alias("high")).orderBy("cell").collect()  # as many as cells, whose number the sample bounds
+    box = dealt.where("indexed").groupBy("cell").agg(F.array(*low).alias("low"), F.array(*high).alias("high"), F.count("*").alias("n")).orderBy("cell").collect()  # as many as cells, whose number the sample bounds
     at = np.array([b["cell"] for b in box])
     lows, highs = np.array([b["low"] for b in box]), np.array([b["high"] for b in box])
     limit = chi2_quantile(confidence, dimensions)
     known = {b["cell"] for b in box}
-    stored = dealt.where("indexed").select("cell", F.lit(0).alias("kind"), "vec_id", "v", F.col("p").alias("x"), F.lit(None).cast("double").alias("known"))
+    many = {b["cell"]: -(-b["n"] // MAX_CELL) for b in box if b["n"] > MAX_CELL}
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for kv in many.items() for x in kv]), F.col("cell")), F.lit(1)) if many else F.lit(1)
+    n_cells = int(at.max()) + 1
+    own = F.col("cell") + n_cells * F.pmod(F.xxhash64("vec_id"), parts)
+    stored = dealt.where("indexed").select(own.alias("cell"), F.lit(0).alias("kind"), "vec_id", "v", F.col("p").alias("x"), F.lit(None).cast("double").alias("known"))
     asked = dealt.where("asked")
     home = F.when(F.col("home").isin(list(known)), F.col("home")).otherwise(F.lit(int(at[0])))
     first = asked.select(home.alias("cell"), F.lit(1).alias("kind"), "vec_id", "v", F.col("q").alias("x"), F.lit(None).cast("double").alias("known"))
 
     def search(sent: DataFrame) -> DataFrame:
-        rows = stored.unionByName(sent).repartition("cell").sortWithinPartitions("cell", "kind", "vec_id")
+        to_parts = sent.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("cell", F.col("cell") + n_cells * F.col("_part")).drop("_part")
+        rows = stored.unionByName(to_parts).repartition("cell").sortWithinPartitions("cell", "kind", "vec_id")
         return rows.mapInArrow(_search(k, top, limit, width), HITS)
 
     at_home = scratch.table(search(first))
-    kth = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("worst")).alias("known"))
+    # a query has k hits at most from each part of its cell
+    kth = at_home.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("vec_id"), F.try_element_at("s", F.lit(k)).alias("known"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
