@@ -11,7 +11,7 @@ A group of n copies has n * n candidates, so they are tried in two waves: first
 meets in a bucket, and as many pairs more as connect all that meet there. If some of a group meet others too, all the nodes that candidates connect
 are compared, except where the links found so far have joined them: those outside the group's largest class are dealt, with their sets, to parts of the
 group, and a part confirms its own pairs. So every candidate pair is either confirmed, refused or inside one class, and no task holds a whole group. A
-bucket of more than ``MAX_BUCKET`` nodes is dealt in parts by a hash of the node.
+bucket of more than ``MAX_BUCKET`` nodes is dealt in parts in the first wave, and all its nodes are one group for the second.
 """
 
 from __future__ import annotations
@@ -269,16 +269,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a bucket of so many has a value of its segment that a part of them share
     values = [F.shiftrightunsigned(f"f{at // 64}", at % 64).bitwiseAND((1 << bits) - 1).bitwiseOR(F.lit(k << 56)) for k, (at, bits, _) in enumerate(segments)]
     often = nodes.select(F.explode(F.array(*values)).alias("value")).groupBy("value").count().where(F.col("count") > MAX_BUCKET // (segments[0][1] + 1))
-    part = F.lit(0).cast("long")
+    part, apart = F.lit(0).cast("long"), None
     if not often.isEmpty():
-        crowded = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET))
+        crowded = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("v")).where(F.col("n") > MAX_BUCKET))
         if not crowded.isEmpty():
+            apart = scratch.table(entries.select("bucket", F.col("node").alias("u")).join(crowded, "bucket").where("u <> v").select("u", "v").distinct())
             entries = entries.join(crowded, "bucket", "left")
-            part = F.coalesce(F.expr(f"pmod(xxhash64(node), (n + {MAX_BUCKET - 1}) div {MAX_BUCKET})"), part)
+            part = F.coalesce(F.expr(f"pmod(xxhash64(node, bucket), (n + {MAX_BUCKET - 1}) div {MAX_BUCKET})"), part)
     dealt = entries.select("bucket", part.alias("part"), "node", *f).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
     tried = scratch.table(dealt.mapInArrow(_meet(n_words, limit), "u long, v long").distinct())
     pairs, busy = tried.where("u <> v"), tried.where("u = v").select(F.col("u").alias("node"))
-    live = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    grouped = pairs if apart is None else pairs.unionByName(apart)  # the nodes of a crowded bucket are one group, of pairs not tried
+    busy = busy if apart is None else busy.unionByName(apart.select(F.col("u").alias("node"))).distinct()
+    live = grouped.select(F.col("u").alias("node")).union(grouped.select("v")).distinct()
     # texts are read again for the few sets that are compared; the condition on the key lets Spark filter texts by a Bloom filter before their shuffle
     wanted = scratch.table(nodes.join(live, "node", "left_semi").select("k.rid", "k.d"))
     texts = sent.join(wanted.where(F.col("rid") >= NULL_ID), ["rid", "d"])
@@ -286,7 +289,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
     links = scratch.table(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm(ratio), "u long, v long"))
     star = stars(links, scratch)
-    more = scratch.table(_open_parts(sets, named(stars(pairs, scratch), "class"), named(star, "root"), busy, f).mapInArrow(_compare(n_words, limit, ratio), "u long, v long"))
+    more = scratch.table(_open_parts(sets, named(stars(grouped, scratch), "class"), named(star, "root"), busy, f).mapInArrow(_compare(n_words, limit, ratio), "u long, v long"))
     if not more.isEmpty():
         star = stars(links.unionByName(more), scratch)
     scratch.drop(nodes, tried)
