@@ -221,30 +221,80 @@ def test_language_on_held_out_texts(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.predict(odd, language_id.fit(none)).collect()} == {"und"}
 
 
-def test_lm_gradients_and_scores(spark, sf, odd, none):
+def _by_hand(model, text):
+    """Sum of log-probabilities, a word at a time: words by a pattern, hashes in Python integers, the network by loops."""
+    mask = (1 << 64) - 1
+    buckets = []
+    marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())).encode()
+    for w in re.findall(rb"[" + marks + rb"]|[\xe3-\xff][\x80-\xbf]*[^\x09-\x0d " + marks + rb"\xe3-\xff]*|[^\x09-\x0d " + marks + rb"\xe3-\xff]+", text.encode()):
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) & mask
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 & mask
+        h ^= h >> 29
+        buckets.append((h * 0x9E3779B97F4A7C15 & mask) >> 44)
+    emb, w1, b1, w2, b2 = (w.astype(np.float64) for w in model.weights)
+    total = 0.0
+    for i, b in enumerate(buckets):
+        near = [buckets[j] >> 6 if 0 <= j < len(buckets) else lm_score.PAD for j in (i - 2, i - 1, i + 1, i + 2)]
+        z = np.tanh(np.concatenate([emb[x] for x in near]) @ w1 + b1) @ w2 + b2
+        total += z[model.of[b]] - np.log(np.exp(z).sum()) + float(model.inner[b])
+    return len(buckets), total
+
+
+def test_lm_gradients():
     rng = np.random.default_rng(0)
-    w = [x.astype(np.float64) for x in lm_score.start_weights()]
-    context, target, share = rng.integers(0, lm_score.CONTEXTS, 20), rng.integers(0, 32, 20), np.full(20, 0.05)
-    _, grads = lm_score.gradients(w, context, target, share)
+    w = [x.astype(np.float64) for x in lm_score.start_weights(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))]
+    w[3] = rng.normal(0, 0.3, w[3].shape)
+    x, target = rng.integers(0, lm_score.PAD + 1, (20, 4)), rng.integers(0, lm_score.CLASSES, 20)
+    _, grads = lm_score.gradients(w, x, target)
     for i, g in enumerate(grads):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        up, down = [x.copy() for x in w], [x.copy() for x in w]
+        up, down = [y.copy() for y in w], [y.copy() for y in w]
         up[i][at] += 1e-5
         down[i][at] -= 1e-5
-        slope = (lm_score.gradients(up, context, target, share)[0] - lm_score.gradients(down, context, target, share)[0]) / 2e-5
-        assert abs(slope - g[at]) < 1e-6
+        slope = (lm_score.gradients(up, x, target)[0] - lm_score.gradients(down, x, target)[0]) / 2e-5
+        assert abs(g[at]) > 1e-5 and abs(slope - g[at]) < 1e-6
+
+
+def test_lm_scores(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    weights = lm_score.fit(docs)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, weights).collect()}
-    table = lm_score.table_of(weights)
-    for r in docs.limit(20).collect():
-        c = [0, 0, *lm_score._classes()[np.frombuffer(r["text"].encode("utf-32-le"), "<u4")].tolist(), 0, 0]
-        want = sum(float(table[((c[i - 2] << 15 | c[i - 1] << 10 | c[i + 1] << 5 | c[i + 2]) << 5) | c[i]]) for i in range(2, len(c) - 2))
-        assert abs(got[r["doc_id"]]["pseudo_log_likelihood"] - want) < 1e-6 * max(1, abs(want))
-    mean = np.mean([r["per_token"] for r in got.values()])
-    assert mean > -np.log(32) / 1.5
+    model = lm_score.fit(docs)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
+    rows = docs.orderBy("doc_id").collect()
+    odd_texts = ["Ünïcode、日本語 x日本, a.b\tc\n\x00 d\x7fe", "word", " . "]
+    other = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string"), model).collect()}
+    for r, text in [(got[r["doc_id"]], r["text"]) for r in rows[:10]] + [(other[i], t) for i, t in enumerate(odd_texts)]:
+        n, want = _by_hand(model, text or "")
+        assert r["n_tokens"] == n and abs(r["pseudo_log_likelihood"] - want) < 1e-4 * max(1, abs(want))
+    # all words that there are have probability 1 together, in any context
+    p = np.exp(model.inner.astype(np.float64) + lm_score.forward(model.weights, np.array([[5, 6, 7, lm_score.PAD]]))[2][0][model.of])
+    assert abs(p.sum() - 1) < 1e-3
+    # the network beats the words' own shares, and beats them on texts it never saw
+    seen, unseen = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")
+    part = lm_score.fit(seen)
+    bucket, doc = lm_score.words([r["text"] or "" for r in unseen.collect()])
+    counted = lm_score.words([r["text"] or "" for r in seen.collect()])[0]
+    mass = np.bincount(counted, minlength=lm_score.BUCKETS) + lm_score.PRIOR
+    assert part.log_probabilities(bucket, doc).mean() > np.log(mass / mass.sum())[bucket].mean() + 0.1
+    # the order of words, their case and their script count
     r = random.Random(1)
-    plain = spark.createDataFrame([(i, "".join(r.choice("qxzjkvw#") for _ in range(300))) for i in range(20)], "doc_id long, text string")
-    assert max(r["per_token"] for r in lm_score.score(plain, weights).collect()) < mean
-    assert sum(r["per_token"] is None for r in lm_score.score(odd, weights).collect()) == 2
-    assert lm_score.score(none, lm_score.fit(none)).count() == 0
+    mean = np.mean([x["per_token"] for x in got.values() if x["per_token"] is not None])
+    mixed = [(x["doc_id"], " ".join(r.sample(w, len(w)))) for x in rows if len(w := (x["text"] or "").replace(".", " .").replace(",", " ,").split()) > 50]
+    shuffled = lm_score.score(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    assert sum(x["per_token"] < got[x["doc_id"]]["per_token"] for x in shuffled) >= 0.9 * len(shuffled)
+    texts = ["The state of the art", "THE STATE OF THE ART", "日本語 は 日本", "本日語 日本 は", "in 1999 and 2000", "in 1998 and 2001"]
+    assert len({x["per_token"] for x in lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}) == len(texts)
+    plain = spark.createDataFrame([(i, "".join(r.choice("qxzjkvw ") for _ in range(300))) for i in range(20)], "doc_id long, text string")
+    assert max(x["per_token"] for x in lm_score.score(plain, model).collect()) < mean
+
+
+def test_lm_on_odd_tables(spark, odd, none):
+    model = lm_score.fit(odd)
+    got = lm_score.score(odd, model).collect()
+    assert len(got) == odd.count() and all((x["per_token"] is None) == (x["n_tokens"] == 0) and x["pseudo_log_likelihood"] <= 0 for x in got)
+    assert {x["doc_id"] for x in got if x["n_tokens"] == 0} == {x["doc_id"] for x in odd.collect() if not (x["text"] or "").strip()}
+    empty = lm_score.fit(none)
+    assert lm_score.score(none, empty).count() == 0
+    assert all(np.isfinite(x["pseudo_log_likelihood"]) for x in lm_score.score(odd, empty).collect())
+    twice = lm_score.score(odd.unionAll(odd), model).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, got * 2))
