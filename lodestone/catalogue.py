@@ -545,9 +545,8 @@ def entity_match_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entity_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    passages = table(spark, d, "benchmark")
     names = matching.dictionary(table(spark, d, "customer").select(F.col("c_name").alias("name")).unionByName(_names(spark, d).select("name")))
-    return matching.match(passages, names, "item_id", "text")
+    return matching.match(table(spark, d, "documents"), names, "doc_id", "text")
 
 
 @query(f"""with {NAMES}, {FOUND}, i as (select doc_id, source, (row_number() over (partition by source order by doc_id) - 1) // 5 as group_index from documents)

@@ -1,6 +1,7 @@
 """Operators on small cases: evaluation, judging, mining, matching, facts, sources, sinks, plans, streams."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -283,3 +284,20 @@ def test_samples_of_gapped_ids(spark):
 
     rows = spark.createDataFrame([(10 * i + 3,) for i in range(40)], "doc_id long")
     assert datasets.seeded_sample(rows, "doc_id", 15, 3).count() == 15 and datasets.seeded_sample(rows, "doc_id", 99, 3).count() == 40
+
+
+def test_partial_ratio_with_a_cutoff_loses_no_window():
+    r, hits = random.Random(5), 0
+    for _ in range(1500):
+        a = "".join(r.choice("abcd ") for _ in range(r.randint(1, 24)))
+        edited = list(a)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(edited) + 1)
+            edited[at : at + r.randint(0, 1)] = r.choice(["", "a", "e"])
+        ends = ["".join(r.choice("abcdef ") for _ in range(r.choice([0, 0, 3, 30]))) for _ in range(2)]
+        b = ends[0] + "".join(edited) + ends[1]
+        for cutoff in (60, 80, 90, 97):
+            score = matching.partial_ratio(a, b)
+            assert matching.partial_ratio(a, b, cutoff) == (score if score >= cutoff else 0)
+            hits += score >= cutoff
+    assert hits > 1000
