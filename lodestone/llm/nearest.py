@@ -24,6 +24,8 @@ DIMENSIONS = 12
 #: Rows of the sample that the cells are fitted on at most, rows of a cell on average if the sample allows so many cells, and rows of a part of a larger cell.
 SAMPLE, CELL, MAX_CELL = 20_000, 4_000, 16_000
 LEAF = 64
+#: Queries of a cell that are searched at once.
+QUERIES = 256
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -111,74 +113,83 @@ def cell_of(nodes: list, points: np.ndarray) -> np.ndarray:
 class Cell:
     """The vectors of a cell with their tree. ids: up to k + 1 of each vector, ascending."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, squares: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
         self.leaves = build(projected, LEAF)
         self.order = np.concatenate(self.leaves) if len(ids) else np.zeros(0, np.int64)
         self.ends = np.cumsum([len(x) for x in self.leaves])
-        self.ids, self.vectors, self.squares = ids[self.order], vectors[self.order], squares[self.order]
+        self.ids, self.vectors = ids[self.order], vectors[self.order]
         self.low, self.high = boxes(projected, self.leaves)
 
-    def search(self, query: np.ndarray, at: np.ndarray, own: int, k: int, norm2: float, limit: float, known: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best found. known: the score of a k-th neighbour found elsewhere, or -inf.
+    def search(self, queries: np.ndarray, at: np.ndarray, own: np.ndarray, k: int, norm2: float, limit: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and scores of the k best found of each query. known: the score of a k-th neighbour found elsewhere, or -inf.
 
-        A squared distance is |q|^2 + M^2 - 2 score, M the greatest norm.
+        A squared distance is |q|^2 + M^2 - 2 score, M the greatest norm. Queries go through their leaves in steps; in a step a leaf is
+        multiplied with all queries that visit it. What may stay is scored again pair by pair, so that equal vectors have equal scores.
         """
-        gap = np.maximum(0, np.maximum(self.low - at, at - self.high))
-        bound = (gap * gap).sum(axis=1)
-        visit = np.argsort(bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        worst, done, step = known, 0, 4
-        base = float(query @ query) + norm2
-        while done < len(visit):
-            if worst > -np.inf and bound[visit[done]] > limit * max(0.0, base - 2 * worst):
+        gap = np.maximum(0, np.maximum(self.low[None] - at[:, None], at[:, None] - self.high[None]))
+        bound = (gap * gap).sum(axis=2)
+        visit = np.argsort(bound, axis=1, kind="stable")
+        length2 = (queries * queries).sum(axis=1)
+        slack = 1e-12 * np.sqrt(length2 * norm2)
+        worst, active, done, step = known.copy(), np.arange(len(queries)), 0, 4
+        who, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        while done < len(self.leaves):
+            active = active[bound[active, visit[active, done]] <= limit * np.maximum(0.0, length2[active] + norm2 - 2 * worst[active])]
+            if not len(active):
                 break
-            now = visit[done : done + step]
-            rows = np.concatenate([np.arange(self.ends[x] - len(self.leaves[x]), self.ends[x]) for x in now])
-            s = self.vectors[rows] @ query
-            near = rows[s >= worst] if worst > -np.inf else rows
-            s = s[s >= worst] if worst > -np.inf else s
-            use = self.ids[near] != own
-            near, s = near[use], s[use]
-            ids, scores = np.concatenate((ids, self.ids[near])), np.concatenate((scores, s))
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                worst = max(worst, float(scores.min()))
+            now = visit[active, done : done + step]
+            flat = np.argsort(now, axis=None, kind="stable")
+            leaves, starts = np.unique(now.ravel()[flat], return_index=True)
+            found = [(who, row, score)]
+            for leaf, pick in zip(leaves, np.split(active[flat // now.shape[1]], starts[1:]), strict=True):
+                n = len(self.leaves[leaf])
+                begin = self.ends[leaf] - n
+                s = queries[pick] @ self.vectors[begin : begin + n].T
+                least = worst[pick]
+                if n > k + 1:  # one of them may be the query's own
+                    least = np.maximum(least, np.partition(s, n - k - 1, axis=1)[:, n - k - 1])
+                i, j = np.nonzero((s >= (least - slack[pick])[:, None]) & (self.ids[begin : begin + n][None] != own[pick][:, None]))
+                found.append((pick[i], begin + j, np.einsum("ij,ij->i", self.vectors[begin + j], queries[pick[i]])))
+            who, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((self.ids[row], -score, who))
+            who, row, score = who[order], row[order], score[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            keep = place < k
+            last = place == k - 1
+            worst[who[last]] = np.maximum(worst[who[last]], score[last])
+            who, row, score = who[keep], row[keep], score[keep]
             done += step
             step = min(64, step * 2)
-        return ids, scores
+        keep = score >= known[who]
+        return who[keep], self.ids[row[keep]], score[keep]
 
 
 def _search(k: int, norm2: float, limit: float, width: int):
     """Rows (cell, kind, id, vector, projected, known), of a cell the vectors (kind 0) before the queries (kind 1), to hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows, index = None, [], None
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cell, parts, index = None, [], None
         for batch in batches:
-            cells, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, known = batch.column(2).to_pylist(), batch.column(5).to_pylist()
+            cells, kinds, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            known = batch.column(5).fill_null(-np.inf).to_numpy(zero_copy_only=False)
             vectors = batch.column(3).flatten().to_numpy().reshape(-1, width)
             projected = batch.column(4).flatten().to_numpy().reshape(len(ids), -1)
-            for i in range(len(ids)):
-                if cells[i] != cell:
-                    cell, rows, index = cells[i], [], None
-                if kinds[i] == 0:
-                    rows.append((ids[i], vectors[i].copy(), projected[i].copy()))
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if a == b:
                     continue
-                if index is None and rows:
-                    a, b, c = zip(*rows, strict=True)
-                    v = np.stack(b)
-                    index, rows = Cell(np.array(a), v, np.stack(c), (v * v).sum(axis=1)), []
-                if index is not None:
-                    got, s = index.search(vectors[i], projected[i], ids[i], k, norm2, limit, -np.inf if known[i] is None else known[i])
-                    hits.append((np.full(len(got), ids[i]), got, s))
-            if sum(len(h[0]) for h in hits) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*hits, strict=True)], names=["query_id", "vec_id", "score"])
-                hits = []
-        if hits:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*hits, strict=True)], names=["query_id", "vec_id", "score"])
+                if cells[a] != cell:
+                    cell, parts, index = cells[a], [], None
+                if kinds[a] == 0:
+                    parts.append((ids[a:b].copy(), vectors[a:b].copy(), projected[a:b].copy()))
+                    continue
+                if index is None and parts:
+                    index, parts = Cell(*(np.concatenate(x) for x in zip(*parts, strict=True))), []
+                for i in range(a, b, QUERIES) if index is not None else ():
+                    j = min(b, i + QUERIES)
+                    who, got, s = index.search(vectors[i:j], projected[i:j], ids[i:j], k, norm2, limit, known[i:j])
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][who]), pa.array(got), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     return run
 
