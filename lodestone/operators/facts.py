@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.text import collapse_key, single_line, strip
-from ..session import dense_index, top_k
+from ..session import dense_index, running_index, top_k
 from .matching import required
 
 
@@ -67,8 +67,7 @@ def entity_memory(answered: DataFrame, order: list[Column]) -> DataFrame:
 def in_file_order(memory: DataFrame, entities: DataFrame, name: str = "entity_name") -> DataFrame:
     """Entities by their position in the entity file, then the others as they came; adds entity_index."""
     placed = memory.join(entities.groupBy(name).agg(F.min("position").alias("position")), name, "left")
-    known = F.col("position").isNull().cast("int")
-    return placed.withColumn("entity_index", F.row_number().over(Window.orderBy(known, "position", "first")) - 1)
+    return running_index(placed, [F.col("position").isNull(), F.col("position"), F.col("first")], "entity_index")
 
 
 def group_by_documents(facts: DataFrame, entity: str = "entity_name") -> DataFrame:
@@ -112,8 +111,7 @@ def round_robin(slots: DataFrame, entities: DataFrame, slot: str = "slot", posit
 
 def usable(memory: DataFrame) -> DataFrame:
     """Entities with a fact, numbered anew in their order."""
-    kept = memory.where(F.size("facts") > 0)
-    return kept.withColumn("position", F.row_number().over(Window.orderBy("entity_index")) - 1)
+    return running_index(memory.where(F.size("facts") > 0).drop("position"), ["entity_index"], "position")
 
 
 def shortfall(assigned: DataFrame, accepted: DataFrame, key: str) -> DataFrame:

@@ -71,6 +71,16 @@ def dense_index(df: DataFrame, id_col: str, order: list[Column], name: str, widt
     return ranged.join(before, "_range").withColumn(name, F.col("_before") + within - 1).drop("_range", "_before")
 
 
+def running_index(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds the row's number, from 0, in any order: ranges are sorted, and written to the shared folder, and what comes before each is summed. No task sorts all rows."""
+    place = F.monotonically_increasing_id()  # of a row in its partition, in the lower 33 bits
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.shiftright(place, 33)).withColumn("_place", place.bitwiseAND((1 << 33) - 1)))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row for each partition
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps k of each task before it shuffles."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
+from lodestone import catalogue_records
 from lodestone.catalogue import ORACLE, QUERIES
 
+assert catalogue_records.query  # its queries are among the others
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "int64", "int": "int32", "string": "string", "double": "double", "boolean": "bool"}
 
