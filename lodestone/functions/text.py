@@ -30,6 +30,14 @@ def word_count(x: Column) -> Column:
     return F.size(words(x))
 
 
+def word_runs(array_col: str, n: int) -> Column:
+    """The runs of n words of an array of words, joined by spaces."""
+    if n == 1:
+        return F.col(array_col)
+    starts = F.slice(array_col, F.lit(1), F.greatest(F.lit(0), F.size(array_col) - (n - 1)))
+    return F.transform(starts, lambda x, i: F.concat_ws(" ", x, *[F.get(F.col(array_col), i + j) for j in range(1, n)]))
+
+
 def tokens(x: Column) -> Column:
     """Lower-case letter and digit runs: what full-text search indexes."""
     return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0))

@@ -7,6 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import word_runs, words
+from ..session import fits, kept
+
+#: Rows of keys, or of pairs of ids, that are broadcast at most.
+MAX_BROADCAST = 200_000
 CUTOFFS = (1, 3, 5, 10, 20, 50)
 
 
@@ -39,30 +44,20 @@ def parse_cutoffs(text: str) -> tuple[int, ...]:
 def containment(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", gram: int = 3) -> DataFrame:
     """query_id, id of the documents whose text holds a query's whole text.
 
-    Both meet on the query's rarest run of ``gram`` words in full (its first and last may be cut), and then are compared; shorter queries are
-    compared with every document, as the table of short ones is small.
+    Both meet on the query's middle run of ``gram`` words in full (its first and last may be cut), and then are compared; shorter queries are
+    compared with every document, as the table of short ones is small. Candidates are pairs of ids in the shared folder; texts are read for
+    those only, and stay where they are if the pairs can be broadcast.
     """
-    from ..functions.text import words
-
     q = queries.select(F.col(query_id).alias("_q"), F.col(query_text).alias("_t")).withColumn("w", words(F.col("_t")))
-    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    q = q.withColumn("i", inner)
-    keys = q.where(F.size("i") >= gram).select("_q", "_t", F.array_join(F.slice("i", F.lit(1) + (F.size("i") - gram) / 2, gram), " ").alias("key"))
+    q = q.withColumn("i", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
+    keys = q.where(F.size("i") >= gram).select("_q", F.array_join(F.slice("i", F.lit(1) + (F.size("i") - gram) / 2, gram), " ").alias("key"))
     d = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - gram + 1), lambda s: F.array_join(F.slice("w", s, gram), " "))
-    wanted = keys.select("key").distinct()
-    hits = d.withColumn("w", words(F.col("_x"))).where(F.size("w") >= gram).select("_d", F.explode(F.array_distinct(grams)).alias("key")).join(wanted, "key", "left_semi")
-    pairs = hits.join(keys, "key").select("_q", "_t", "_d").join(d, "_d")
+    runs = d.select("_d", words(F.col("_x")).alias("w")).select("_d", F.explode(F.array_distinct(word_runs("w", gram))).alias("key"))
+    pairs = kept(runs.join(F.broadcast(keys) if fits(keys, MAX_BROADCAST) else keys, "key").select("_q", "_d").distinct())
+    long = d.join(F.broadcast(pairs) if fits(pairs, MAX_BROADCAST) else pairs, "_d").join(q.select("_q", "_t"), "_q").where(F.contains("_x", F.col("_t")))
     short = q.where(F.size("i") < gram).select("_q", "_t")
-    rest = d.join(F.broadcast(short) if fits_short(short) else short, F.contains(F.col("_x"), F.col("_t")))
-    both = pairs.where(F.contains("_x", F.col("_t"))).select("_q", "_d").unionByName(rest.select("_q", "_d"))
-    return both.select(F.col("_q").alias(query_id), F.col("_d").alias(id_col)).distinct()
-
-
-def fits_short(short: DataFrame) -> bool:
-    from ..session import fits
-
-    return fits(short, 10_000)
+    rest = d.join(F.broadcast(short) if fits(short, 10_000) else short, F.contains(F.col("_x"), F.col("_t")))
+    return long.select("_q", "_d").unionByName(rest.select("_q", "_d")).select(F.col("_q").alias(query_id), F.col("_d").alias(id_col)).distinct()
 
 
 def first_rank(results: DataFrame, relevant: DataFrame, query_id: str, id_col: str, queries: DataFrame | None = None) -> DataFrame:

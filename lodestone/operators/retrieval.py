@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 from ..providers import Reranker
 from ..session import fits, top_k
 
@@ -30,7 +30,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
 
 def corpus_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n documents, avg_length in tokens."""
-    return docs.agg(F.count("*").alias("n"), (F.sum(F.size(tokens(F.col(text_col)))) / F.count("*")).alias("avg_length"))
+    length = F.regexp_count(F.lower(text_col), F.lit(TOKEN))  # tokens are counted, not built
+    return docs.agg(F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("avg_length"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
