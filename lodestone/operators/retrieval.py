@@ -17,6 +17,8 @@ from ..session import fits, top_k
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query vectors held by a task at most, and by a broadcast.
 QUERY_BLOCK = 20_000
+#: Scores that a task holds at once, besides the best ones.
+SCORES = 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -75,14 +77,16 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = 50, query_id: str = "q
             ids, m = held.value
             best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
             for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                x = b.column(1).flatten().to_numpy().reshape(len(own), -1)
-                s = np.round(m @ (_unit(x) if normalise else x).T, 6)
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.concatenate((best_s, s), axis=1), np.concatenate((best_i, np.broadcast_to(own, s.shape)), axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                for a in range(0, len(b), max(1, SCORES // len(ids))):
+                    part = b.slice(a, max(1, SCORES // len(ids)))
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    x = part.column(1).flatten().to_numpy().reshape(len(own), -1)
+                    s = np.round(m @ (_unit(x) if normalise else x).T, 6)
+                    if exclude_self:
+                        s[ids[:, None] == own[None, :]] = -np.inf
+                    s, i = np.concatenate((best_s, s), axis=1), np.concatenate((best_i, np.broadcast_to(own, s.shape)), axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             ok = best_s > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["q", "id", "score"])
 
