@@ -188,10 +188,11 @@ def normalize_text(x: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", x).lower()).split())
 
 
-def _initials() -> tuple[str, str]:
-    """BMP characters whose compatibility form starts with a letter A to Z, in either case, or a digit; and that start."""
-    starts = {chr(c): unicodedata.normalize("NFKD", chr(c))[0].upper() for c in range(0x30, 0x10000) if not 0xD800 <= c < 0xE000}
-    kept = {c: b for c, b in starts.items() if len(b) == 1 and (b in string.ascii_uppercase or b.isdigit())}
+def _initials(ascii_only: bool) -> tuple[str, str]:
+    """BMP characters whose compatibility form starts with a letter A to Z, in either case, or a digit; and that start. ascii_only: the canonical form, and the digits 0 to 9."""
+    form = "NFD" if ascii_only else "NFKD"
+    starts = {chr(c): unicodedata.normalize(form, chr(c))[0].upper() for c in range(0x30, 0x10000) if not 0xD800 <= c < 0xE000}
+    kept = {c: b for c, b in starts.items() if len(b) == 1 and (b in string.ascii_uppercase or (b in string.digits if ascii_only else b.isdigit()))}
     return "".join(kept), "".join(kept.values())
 
 
@@ -199,11 +200,16 @@ def _initials() -> tuple[str, str]:
 MAX_NAME, CUT_NAME, DIGEST = 180, 160, 12
 
 
-def workspace_path(x: Column) -> Column:
-    """facts/<initial>/<name>.md: the initial without accent, or an underscore; the name percent-encoded, a long one cut and given a digest."""
-    name = strip(x)
-    first, (known, starts) = F.substring(name, 1, 1), _initials()
-    folder = F.when((first != "") & (F.instr(F.lit(known), first) > 0), F.translate(first, known, starts)).otherwise(F.when(first == "ß", "SS").otherwise("_"))
+def workspace_path(x: Column, ascii_only: bool = False) -> Column:
+    """facts/<initial>/<name>.md: the initial without accent, or an underscore; the name percent-encoded, a long one cut and given a digest.
+
+    ascii_only, as DuckDB's functions have it: only white space of ASCII (without the vertical tab) is stripped, and the initial is one of
+    A to Z and 0 to 9, without accents; ß and signs like ² go to the underscore.
+    """
+    name = F.regexp_replace(x, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", "") if ascii_only else strip(x)
+    first, (known, starts) = F.substring(name, 1, 1), _initials(ascii_only)
+    other = F.lit("_") if ascii_only else F.when(first == "ß", "SS").otherwise("_")
+    folder = F.when((first != "") & (F.instr(F.lit(known), first) > 0), F.translate(first, known, starts)).otherwise(other)
     code = F.url_encode(name)
     for was, now in (("+", " "), ("%28", "("), ("%29", ")"), ("%7E", "~"), ("*", "%2A")):  # which forms write in another way than paths
         code = F.replace(code, F.lit(was), F.lit(now))
