@@ -15,7 +15,7 @@ LONGEST_KEYED = 64
 BITS = 26
 WORDS = 1 << BITS - 6
 #: Ranges of windows that are compared at once.
-RANGES = 50_000
+RANGES = 20_000
 _STEP, _FULL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -233,7 +233,9 @@ def partial_ratios(texts: list[str], pairs: list[tuple[int, str]], cutoff: float
     if by_size:
         gap = " " * 64
         codes = np.frombuffer((gap + gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters, code = np.unique(codes, return_inverse=True)
+        used = np.zeros(int(codes.max()) + 1, bool)
+        used[codes] = True
+        letters, code = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[codes]
         number = {chr(c): j for j, c in enumerate(letters.tolist())}
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes + 64) - sizes  # of each text among the codes
